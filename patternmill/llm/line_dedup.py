@@ -96,7 +96,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "linededup")
     hits = scratch.save(frequent_hits(docs, scratch, id_col, text_col, limit, min_key, batch_bytes), "hits")
     scratch.drop("lines", "frequent")
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(hits["__t"]), "left")
+    # one plan at every size: a broadcast of the hits would grow with the input
+    joined = docs.join(hits.hint("merge"), docs[id_col].eqNullSafe(hits["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(hits["__t"]), "left")
     lines = lines_of(docs[text_col])
     left = F.when(F.col("__hits").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__hits"), F.xxhash64(line_key(x)))))
     return joined.select(*(docs[c] for c in docs.columns), F.size(lines).cast("long").alias("__lines"), left.alias("__left"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm import line_dedup, packing, quality_rules, sharding, url_filter
+from patternmill.llm import decontaminate, line_dedup, packing, quality_rules, sharding, toxicity, url_filter
 from patternmill.llm.sql import ORACLE
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -28,6 +28,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.UrlRules(URL_RULES, LISTED_HOSTS))
 
@@ -46,7 +54,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_url_filter, op6_quality_rules, op8_line_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontaminate, op5_url_filter, op6_quality_rules, op8_line_dedup, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

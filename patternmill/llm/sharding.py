@@ -76,10 +76,15 @@ def _join(x: object, y: object) -> object:
 
 
 def shard_groups(groups: DataFrame, shards: int, block: int, scratch: Scratch) -> DataFrame:
-    """groups (g, size) -> (g, shard)."""
-    n = groups.count()
+    """groups (g, size) -> (g, shard).
+
+    The last level sees the parts of all blocks as single numbers, with the groups that are too large for a block to
+    even out and about ``2 * block`` ordinary groups dealt to it by hash, whose small sizes level what is left.
+    """
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # fewer than block / 2 groups can be this large
+    late = (F.col("size") * (block // 2) > total) | (F.pmod(F.xxhash64(F.lit("late"), "g"), F.lit(max(1, n))) < 2 * block)
     blocks = max(1, -(-n // block))
-    placed = groups.withColumn("blk", F.pmod(F.xxhash64("g"), F.lit(blocks)))
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("g", "ascending")])
@@ -100,16 +105,26 @@ def shard_groups(groups: DataFrame, shards: int, block: int, scratch: Scratch) -
         rows = {"blk": blks + [None], "part": [*range(shards)] * len(went) + [-1], "up": [key[0].as_py()] * (len(blks) + 1), "up_part": [x for _, w in went for x in w] + [-1], "sums": [None] * len(blks) + [sums]}
         return pa.Table.from_pydict(rows, pa.schema([("blk", pa.int64()), ("part", pa.int32()), ("up", pa.int64()), ("up_part", pa.int32()), ("sums", pa.list_(pa.int64()))]))
 
-    level = scratch.save(placed.groupBy("blk").applyInArrow(first, "g string, blk long, part int, sums array<long>"), "level0")
-    shard = level.where(F.col("g").isNotNull()).select("g", "blk", "part")
+    def last(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("g", "ascending"), ("blk", "ascending"), ("part", "ascending")])
+        _, went = difference([([s] + [0] * (shards - 1), i) for i, s in enumerate(table.column("size").to_pylist())], shards)
+        shard = [0] * table.num_rows
+        for i, w in went:
+            shard[i] = w[0]
+        return table.select(["g", "blk", "part"]).append_column("shard", pa.array(shard, pa.int32()))
+
+    level = scratch.save(groups.where(~late).withColumn("blk", F.pmod(F.xxhash64("g"), F.lit(blocks))).groupBy("blk").applyInArrow(first, "g string, blk long, part int, sums array<long>"), "level0")
+    place = level.where(F.col("g").isNotNull()).select("g", "blk", "part")
     tops, depth = level.where(F.col("g").isNull()).select("blk", "sums"), 0
-    while blocks > 1:
-        blocks, depth = -(-blocks // block), depth + 1
+    while blocks > block // 4:
+        blocks, depth = -(-blocks // (block // 4)), depth + 1
         level = scratch.save(tops.withColumn("up", F.pmod(F.xxhash64("blk"), F.lit(blocks))).groupBy("up").applyInArrow(again, "blk long, part int, up long, up_part int, sums array<long>"), f"level{depth}")
-        moved = level.where(F.col("blk").isNotNull()).drop("sums")
-        shard = shard.join(moved, ["blk", "part"]).select("g", F.col("up").alias("blk"), F.col("up_part").alias("part"))
+        place = place.join(level.where(F.col("blk").isNotNull()).drop("sums"), ["blk", "part"]).select("g", F.col("up").alias("blk"), F.col("up_part").alias("part"))
         tops = level.where(F.col("blk").isNull()).select(F.col("up").alias("blk"), "sums")
-    return shard.select("g", F.col("part").alias("shard"))
+    parts = tops.select(F.lit(None).cast("string").alias("g"), "blk", F.posexplode("sums").alias("part", "size"))
+    single = groups.where(late).select("g", F.lit(None).cast("long").alias("blk"), F.lit(None).cast("int").alias("part"), "size")
+    final = scratch.save(parts.unionByName(single).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(last, "g string, blk long, part int, shard int"), "last")
+    return place.join(final.where(F.col("g").isNull()).drop("g"), ["blk", "part"]).select("g", "shard").unionByName(final.where(F.col("g").isNotNull()).select("g", "shard"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
