@@ -27,9 +27,14 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 class WordMemo(dict):
-    """Ids of blank-separated chunks as little-endian bytes. Ids never depend on what stands beyond a blank."""
+    """Ids of blank-separated chunks as little-endian bytes. Ids never depend on what stands beyond a blank.
 
-    LIMIT = 300_000
+    One memo serves all tasks of a Python worker. A chunk of letters with one mark of punctuation behind is two tokens
+    to the tokenizer's splitter, so only its letters are encoded anew.
+    """
+
+    LIMIT = 900_000
+    _made: dict[str, WordMemo] = {}
 
     def __init__(self, path: str):
         super().__init__()
@@ -38,22 +43,54 @@ class WordMemo(dict):
 
         self.tok = Tokenizer.from_file(path)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+    @classmethod
+    def of(cls, path: str) -> WordMemo:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def _encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
                 self[w] = np.asarray(e.ids, "<u4").tobytes()
 
+    def learn(self, words: set[str]) -> None:
+        new = words - self.keys()
+        if len(self) + 2 * len(new) > self.LIMIT:
+            self.clear()
+            new = words
+        marked = [w for w in new if w[-1:] in MARKS and w[:-1].isalpha() and max(w) < BEYOND]
+        plain = new.difference(marked)
+        plain.update(MARKS)
+        plain.update(w[:-1] for w in marked)
+        self._encode([w for w in plain if w not in self])
+        for w in marked:
+            self[w] = self[w[:-1]] + self[w[-1]]
+
+
+MARKS = tuple(".,;:!?")
+#: The first character that isn't Latin-1; beyond it, a mark may combine with the letter before.
+BEYOND = "\u0100"
+
+
+def prepare(text: str | None) -> list[str]:
+    """The chunks of a text, lower case where that can't change an id: no special token, only Latin-1 letters."""
+    text = (text or "").replace("\n", " ")
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return text.split(" ")
+
 
 def encode(texts: list[str | None], memo: WordMemo, end_id: int) -> Iterator[bytes]:
     """The ids of each text as bytes, the end id last."""
     end = np.array([end_id], "<u4").tobytes()
     for lo in range(0, len(texts), 256):
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts[lo : lo + 256]]
+        split = [prepare(t) for t in texts[lo : lo + 256]]
         seen: set[str] = set()
         for words in split:
             seen.update(words)
@@ -105,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str] | str, cap
     """One row per piece with its place; ``tokenizer_path`` is a path or a function that gives it on the executor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(tokenizer_path() if callable(tokenizer_path) else tokenizer_path)
+        memo = WordMemo.of(tokenizer_path() if callable(tokenizer_path) else tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), memo, end_id)):

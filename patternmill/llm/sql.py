@@ -70,4 +70,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-ORACLE = {"op5_url_filter": _URL, "op6_quality_rules": _QUALITY, "op8_line_dedup": _LINES}
+#: Words of windows of 35 that start at two or more places.
+_REPEATS = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 34), chr(32))) AS k FROM (
+    SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)
+), twice AS (
+  SELECT doc_id, i FROM win JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)
+), gone AS (SELECT DISTINCT doc_id, i + j AS i FROM twice, range(0, 35) AS r(j)),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(sha, sha256('')) AS kept_sha256
+FROM d LEFT JOIN (
+  SELECT w.doc_id, count(g.i) AS n_removed, sha256(coalesce(string_agg(word, chr(32) ORDER BY w.i) FILTER (g.i IS NULL), '')) AS sha
+  FROM w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+) k ON d.doc_id = k.doc_id
+"""
+
+ORACLE = {"op7_substring_dedup": _REPEATS, "op5_url_filter": _URL, "op6_quality_rules": _QUALITY, "op8_line_dedup": _LINES}
