@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternmill.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, toxicity, url_filter
+from patternmill.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, toxicity, url_filter
 from patternmill.llm.sql import ORACLE
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -60,8 +60,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_substrings(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontaminate, op4_near_dedup, op5_url_filter, op6_quality_rules, op7_substring_dedup, op8_line_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_decontaminate, op4_near_dedup, op5_url_filter, op6_quality_rules, op7_substring_dedup, op8_line_dedup, op9_sharding, op10_suffix_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
