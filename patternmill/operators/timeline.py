@@ -1,0 +1,75 @@
+"""Ordered operations per key: lifecycles, value changes, repairs, change points."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _ordered(key: str = "key") -> Window:
+    return Window.partitionBy(key).orderBy("ts", "ord")
+
+
+def changes(values: DataFrame) -> DataFrame:
+    """Rows where a key's value differs from the one before; the first counts."""
+    before = F.lag("v").over(_ordered())
+    return values.withColumn("was", before).where(F.col("was").isNull() | (F.col("was") != F.col("v"))).select("key", "ord", "was", "v")
+
+
+def lifecycle(values: DataFrame, churn_days: int = 14, fix: str = "error") -> DataFrame:
+    """(key, first, last, mods, churn, fixes) per key."""
+    w = Window.partitionBy("key")
+    rows = values.withColumn("born", F.min("ts").over(w)).withColumn("was", F.lag("v").over(_ordered()))
+    early = F.col("ts") <= F.col("born") + F.expr(f"INTERVAL {churn_days} DAYS")
+    moved = F.col("was").isNotNull() & (F.col("was") != F.col("v"))
+    return rows.groupBy("key").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum(moved.cast("long")).alias("mods"), F.max((moved & early).cast("int")).alias("churn"), F.sum((F.col("v") == fix).cast("long")).alias("fixes"))
+
+
+def held(values: DataFrame, expected: str) -> DataFrame:
+    """Departures from and repairs to the expected value, per key."""
+    rows = values.withColumn("was", F.lag("v").over(_ordered()))
+    left = (F.col("was") == expected) & (F.col("v") != expected)
+    back = (F.col("was") != expected) & (F.col("v") == expected)
+    return rows.groupBy("key").agg(F.sum(F.coalesce(left, F.lit(False)).cast("long")).alias("departures"), F.sum(F.coalesce(back, F.lit(False)).cast("long")).alias("repairs"))
+
+
+def rejected(values: DataFrame, least: int = 5) -> DataFrame:
+    """Values that were tried by enough keys and mostly given up."""
+    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("ord")))
+    final = values.withColumn("r", last).where("r = 1").select("key", F.col("v").alias("final"))
+    tried = values.select("key", "v").distinct().join(final, "key")
+    out = tried.groupBy("v").agg(F.count(F.lit(1)).alias("tried"), F.sum((F.col("v") != F.col("final")).cast("long")).alias("reverted"))
+    return out.withColumn("rejected", (F.col("tried") >= least) & (F.col("reverted") * 3 >= F.col("tried") * 2))
+
+
+def change_point(values: DataFrame) -> DataFrame:
+    """The best single cut of each value's sequence of observations, coded with the KT sequence code.
+
+    The code length of a run with a ones and b zeros needs ln of gamma functions at half integers: running sums of
+    ln(i - 1/2) and ln(i) over one sequence table. A cut never splits a timestamp.
+    """
+    obs = values.select("ts", "v").distinct()
+    every = obs.select("ts").distinct().crossJoin(obs.select(F.col("v").alias("exp")).distinct())
+    seq = obs.join(every, "ts").groupBy("exp", "ts").agg(F.sum((F.col("v") == F.col("exp")).cast("long")).alias("x"), F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy("exp").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("exp")
+    seq = seq.withColumn("a", F.sum("x").over(w)).withColumn("n", F.sum("m").over(w)).withColumn("A", F.sum("x").over(whole)).withColumn("N", F.sum("m").over(whole))
+    size = obs.agg(F.count(F.lit(1)).alias("k")).first()["k"] + 1
+    i = values.sparkSession.range(0, size + 1)
+    o = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    half = F.when(F.col("id") == 0, 0.5 * F.log(F.lit(3.141592653589793))).otherwise(F.log(F.col("id") - 0.5))
+    fact = F.when(F.col("id") == 0, F.lit(0.0)).otherwise(F.log(F.col("id").cast("double")))
+    gamma = i.select("id", F.sum(half).over(o).alias("gh"), F.sum(fact).over(o).alias("gf"))
+
+    def code(df: DataFrame, ones: F.Column, total: F.Column, name: str) -> DataFrame:
+        g = gamma.select("id", "gh", "gf")
+        df = df.withColumn("_a", ones).withColumn("_b", total - ones).withColumn("_n", total)
+        df = df.join(g.select(F.col("id").alias("_a"), F.col("gh").alias("_x")), "_a").join(g.select(F.col("id").alias("_b"), F.col("gh").alias("_y")), "_b").join(g.select(F.col("id").alias("_n"), F.col("gf").alias("_z")), "_n")
+        bits = -(F.col("_x") + F.col("_y") - F.log(F.lit(3.141592653589793)) - F.col("_z")) / F.log(F.lit(2.0))
+        return df.withColumn(name, bits).drop("_a", "_b", "_n", "_x", "_y", "_z")
+
+    cut = code(code(code(seq, F.col("A"), F.col("N"), "one"), F.col("a"), F.col("n"), "left"), F.col("A") - F.col("a"), F.col("N") - F.col("n"), "right")
+    cut = cut.where(F.col("n") < F.col("N"))
+    cuts = cut.groupBy("exp").agg(F.count(F.lit(1)).alias("cuts"), F.max("one").alias("one"), F.min(F.struct(F.round(F.col("left") + F.col("right"), 6).alias("bits"), F.col("ts").alias("ts"))).alias("best"))
+    gain = F.col("one") - F.col("best.bits") - F.log2(F.col("cuts").cast("double"))
+    return cuts.select("exp", "cuts", F.col("best.ts").alias("at"), F.round(gain, 4).alias("gain"), (gain > 0).alias("moved"))
