@@ -53,7 +53,7 @@ def change_point(values: DataFrame) -> DataFrame:
     seq = obs.join(every, "ts").groupBy("exp", "ts").agg(F.sum((F.col("v") == F.col("exp")).cast("long")).alias("x"), F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy("exp").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("exp")
-    seq = seq.withColumn("a", F.sum("x").over(w)).withColumn("n", F.sum("m").over(w)).withColumn("A", F.sum("x").over(whole)).withColumn("N", F.sum("m").over(whole))
+    seq = seq.withColumn("a", F.sum("x").over(w)).withColumn("n", F.sum("m").over(w)).withColumn("all_a", F.sum("x").over(whole)).withColumn("all_n", F.sum("m").over(whole))
     size = obs.agg(F.count(F.lit(1)).alias("k")).first()["k"] + 1
     i = values.sparkSession.range(0, size + 1)
     o = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
@@ -68,8 +68,8 @@ def change_point(values: DataFrame) -> DataFrame:
         bits = -(F.col("_x") + F.col("_y") - F.log(F.lit(3.141592653589793)) - F.col("_z")) / F.log(F.lit(2.0))
         return df.withColumn(name, bits).drop("_a", "_b", "_n", "_x", "_y", "_z")
 
-    cut = code(code(code(seq, F.col("A"), F.col("N"), "one"), F.col("a"), F.col("n"), "left"), F.col("A") - F.col("a"), F.col("N") - F.col("n"), "right")
-    cut = cut.where(F.col("n") < F.col("N"))
+    cut = code(code(code(seq, F.col("all_a"), F.col("all_n"), "one"), F.col("a"), F.col("n"), "left"), F.col("all_a") - F.col("a"), F.col("all_n") - F.col("n"), "right")
+    cut = cut.where(F.col("n") < F.col("all_n"))
     cuts = cut.groupBy("exp").agg(F.count(F.lit(1)).alias("cuts"), F.max("one").alias("one"), F.min(F.struct(F.round(F.col("left") + F.col("right"), 6).alias("bits"), F.col("ts").alias("ts"))).alias("best"))
     gain = F.col("one") - F.col("best.bits") - F.log2(F.col("cuts").cast("double"))
     return cuts.select("exp", "cuts", F.col("best.ts").alias("at"), F.round(gain, 4).alias("gain"), (gain > 0).alias("moved"))

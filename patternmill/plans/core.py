@@ -42,12 +42,12 @@ def _partners_sql(unit: str) -> str:
     return f"""WITH b AS ({_BASKET.format(u=unit)}), s AS (SELECT sha, count(*) AS breadth FROM b GROUP BY sha HAVING count(*) BETWEEN 2 AND 30),
 x AS (SELECT b.sha, unit, breadth FROM b JOIN s USING (sha)), c AS (SELECT unit, count(*) AS n, sum(breadth - 1) AS others FROM x GROUP BY unit),
 p AS (SELECT l.unit AS a, r.unit AS b, count(*) AS sup FROM x l JOIN x r ON l.sha = r.sha AND l.unit < r.unit GROUP BY 1, 2 HAVING count(*) >= 8),
-t AS (SELECT count(DISTINCT sha) AS N, count(*) AS touches FROM x), q AS (SELECT count(*) AS pairs FROM p),
+t AS (SELECT count(DISTINCT sha) AS n_baskets, count(*) AS touches FROM x), q AS (SELECT count(*) AS pairs FROM p),
 d AS (SELECT a, b, sup FROM p UNION ALL SELECT b, a, sup FROM p),
-r AS (SELECT d.a, d.b, sup, ca.n, cb.n AS gp, N, pairs, 1 - pow(1 - (cb.n + 0.5) / (touches - ca.n + 1), ca.others / ca.n) AS base, 1 - pow(1 - cb.n / (touches - ca.n), ca.others / ca.n) AS rate
+r AS (SELECT d.a, d.b, sup, ca.n, cb.n AS gp, n_baskets, pairs, 1 - pow(1 - (cb.n + 0.5) / (touches - ca.n + 1), ca.others / ca.n) AS base, 1 - pow(1 - cb.n / (touches - ca.n), ca.others / ca.n) AS rate
       FROM d JOIN c ca ON d.a = ca.unit JOIN c cb ON d.b = cb.unit, t, q),
 z AS (SELECT *, CASE WHEN sup > rate * n THEN sup * log2({_KT.format(c='sup', n='n')} / base) + (n - sup) * log2((1 - {_KT.format(c='sup', n='n')}) / (1 - base)) - 0.5 * log2(greatest(n, 2)) - ceil(log2(greatest(2 * pairs, 2))) END AS bits FROM r)
-SELECT a, b, sup, n, gp, round(bits, 6) AS bits, coalesce(bits > 0, false) AS certified, NOT coalesce(bits > 0, false) AND {_KT.format(c='gp', n='N')} >= 7.0 / 8 AS ambient FROM z"""
+SELECT a, b, sup, n, gp, round(bits, 6) AS bits, coalesce(bits > 0, false) AS certified, NOT coalesce(bits > 0, false) AND {_KT.format(c='gp', n='n_baskets')} >= 7.0 / 8 AS ambient FROM z"""
 
 
 def _bridge_sql(group: str) -> str:
