@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +27,21 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+#: Marks that the tokenizer's splitter keeps together as a token of their own after letters; without the apostrophe
+#: (it begins endings of words) and the opening angle bracket (it begins special tokens).
+MARKS = '.,;:!?&$*#%|>()[]{}"-_/+=~^@'
+#: The first character that isn't Latin-1; beyond it, a mark may combine with the letter before.
+BEYOND = "\u0100"
+
+
 class WordMemo(dict):
-    """Ids of blank-separated chunks as little-endian bytes. Ids never depend on what stands beyond a blank.
+    """Ids of blank-separated words as little-endian bytes. Ids never depend on what stands beyond a blank.
 
-    One memo serves all tasks of a Python worker. A chunk of letters with one mark of punctuation behind is two tokens
-    to the tokenizer's splitter, so only its letters are encoded anew.
+    One memo serves all tasks of a Python worker; it holds at most ``LIMIT`` words. A word of letters with marks behind
+    is two tokens to the tokenizer's splitter, so only its letters are encoded anew, many words in one call.
     """
 
-    LIMIT = 900_000
+    LIMIT = 1_200_000
     _made: dict[str, WordMemo] = {}
 
     def __init__(self, path: str):
@@ -49,55 +57,72 @@ class WordMemo(dict):
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encode(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+    def _encode(self, words: list[str], each: int = 4096) -> None:
+        for at in range(0, len(words), each):
+            part = words[at : at + each]
             for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
                 self[w] = np.asarray(e.ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        new = words - self.keys()
+    def _encode_letters(self, words: list[str], each: int = 4096) -> None:
+        """Words that the splitter leaves whole, as one text: the splitter's word numbers tell them apart."""
+        for at in range(0, len(words), each):
+            part = words[at : at + each]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids)
+            ends = np.append(np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(owner)) * 4
+            if len(ends) != len(part):
+                self._encode(part)
+                continue
+            data, lo = ids.tobytes(), 0
+            for w, hi in zip(part, ends.tolist()):
+                self[w] = data[lo:hi]
+                lo = hi
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self]
         if len(self) + 2 * len(new) > self.LIMIT:
             self.clear()
             new = words
-        marked = [w for w in new if w[-1:] in MARKS and w[:-1].isalpha() and max(w) < BEYOND]
-        plain = new.difference(marked)
-        plain.update(MARKS)
-        plain.update(w[:-1] for w in marked)
-        self._encode([w for w in plain if w not in self])
-        for w in marked:
-            self[w] = self[w[:-1]] + self[w[-1]]
-
-
-MARKS = tuple(".,;:!?")
-#: The first character that isn't Latin-1; beyond it, a mark may combine with the letter before.
-BEYOND = "\u0100"
-
-
-def prepare(text: str | None) -> list[str]:
-    """The chunks of a text, lower case where that can't change an id: no special token, only Latin-1 letters."""
-    text = (text or "").replace("\n", " ")
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-    return text.split(" ")
-
-
-def encode(texts: list[str | None], memo: WordMemo, end_id: int) -> Iterator[bytes]:
-    """The ids of each text as bytes, the end id last."""
-    end = np.array([end_id], "<u4").tobytes()
-    for lo in range(0, len(texts), 256):
-        split = [prepare(t) for t in texts[lo : lo + 256]]
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words)
-        memo.learn(seen)
-        get = memo.__getitem__
-        for words in split:
-            yield b"".join(map(get, words)) + end
+        letters, rest, marked = [], [], []
+        for w in new:
+            head = w.rstrip(MARKS)
+            if not head.isalpha() or not (head.isascii() or max(head) < BEYOND):
+                rest.append(w)
+            elif len(head) == len(w):
+                letters.append(w)
+            else:
+                marked.append((w, head, w[len(head) :]))
+        known = {*letters, *rest}
+        letters += {h for _, h, _ in marked if h not in self and h not in known}
+        rest += {t for _, _, t in marked if t not in self and t not in known}
+        self._encode_letters(letters)
+        self._encode(rest)
+        for w, head, tail in marked:
+            self[w] = self[head] + self[tail]
+
+
+def encode(texts: pa.Array, memo: WordMemo, limit: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids end to end, where each text begins and the end) of runs of about ``limit`` bytes; null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        done = int(sizes[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, done + limit)))
+        split = pc.ascii_split_whitespace(texts.slice(lo, hi - lo))
+        words = split.flatten().dictionary_encode()
+        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        memo.learn(distinct)
+        parts = list(map(memo.__getitem__, distinct))
+        flat, size = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(size) - size
+        length = size[at]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(first[at] - (ends - length), length) + np.arange(total)]
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        yield lo, ids, np.concatenate(([0], ends))[offsets]
+        lo = hi
 
 
 class TournamentTree:
@@ -143,15 +168,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str] | str, cap
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordMemo.of(tokenizer_path() if callable(tokenizer_path) else tokenizer_path)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), memo, end_id)):
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), total)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            docs_ = batch.column(0).to_pylist()
+            for lo, ids, begins in encode(batch.column(1), memo):
+                rows: list[list] = [[], [], [], [], []]
+                data, begins = memoryview(ids.tobytes()), begins.tolist()
+                for doc, a, b in zip(docs_[lo:], begins, begins[1:]):
+                    total = b - a + 1
+                    for start in range(0, total, capacity):
+                        length = min(capacity, total - start)
+                        crc = zlib.crc32(data[4 * (a + start) : 4 * min(b, a + start + length)])
+                        if start + length == total:
+                            crc = zlib.crc32(end, crc)
+                        for column, value in zip(rows, (doc, start, length, crc, total)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
