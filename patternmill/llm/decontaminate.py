@@ -10,7 +10,7 @@ verified with all of the item's shingles, exactly.
 The sketch index is broadcast only if its counted rows stay below ``broadcast_rows``; beyond, the join shuffles both
 sides. Words are runs of letters and digits, lower case. A shingle is five words.
 
-Defined results: null and empty texts match nothing; items of fewer than five words have no shingle and are never
+Defined results: null and empty texts match nothing; a null id of a document or an item is an id of its own; items of fewer than five words have no shingle and are never
 found. Repeated rows of a document give the same pair once per id. An empty table gives an empty one. Other columns
 are not read, or pass through ``without_leaks`` untouched.
 """
@@ -38,8 +38,8 @@ def shingle_hashes(text: Column, width: int = 5) -> Column:
 
 
 def item_sketches(items: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """item_id, sh (all distinct shingles), n, size_class, sketch (the smallest hashes)."""
-    sh = items.select(items[id_col].alias("item_id"), F.array_sort(F.array_distinct(shingle_hashes(items[text_col], width))).alias("sh"))
+    """item_id, item (a key that is never null), sh (all distinct shingles), n, size_class, sketch (the smallest hashes)."""
+    sh = items.select(items[id_col].alias("item_id"), F.xxhash64(items[id_col], items[text_col]).alias("item"), F.array_sort(F.array_distinct(shingle_hashes(items[text_col], width))).alias("sh"))
     sh = sh.withColumn("n", F.size("sh")).where(F.col("n") > 0)
     sh = sh.withColumn("size_class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
     upper = F.pow(F.lit(2.0), F.col("size_class") + 1) - 1
@@ -51,18 +51,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
     """One row per (doc_id, item_id) whose share of the item's shingles in the document is at least ``threshold``."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     sketches = scratch.save(item_sketches(items, threshold, width, item_col, item_text), "items")
-    index = sketches.select("item_id", F.explode("sketch").alias("h"))
+    index = sketches.select("item", F.explode("sketch").alias("h"))
     if index.count() <= broadcast_rows:
         index = F.broadcast(index)
     own = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("body"))
     probes = own.select("doc_id", "t", F.explode(shingle_hashes(F.col("body"), width)).alias("h"))
-    pairs = scratch.save(probes.join(index, "h").select("doc_id", "t", "item_id").distinct(), "pairs")
+    pairs = scratch.save(probes.join(index, "h").select("doc_id", "t", "item").distinct(), "pairs")
     holders = pairs.select(F.col("doc_id").alias("d"), F.col("t").alias("u")).distinct()
     if holders.count() <= broadcast_rows:
         holders = F.broadcast(holders)
     held = own.join(holders, own["doc_id"].eqNullSafe(F.col("d")) & (own["t"] == F.col("u")), "left_semi")
     held = held.dropDuplicates(["doc_id", "t"]).select(F.col("doc_id").alias("d"), F.col("t").alias("u"), F.array_distinct(shingle_hashes(F.col("body"), width)).alias("all"))
-    both = pairs.join(held, pairs["doc_id"].eqNullSafe(F.col("d")) & (pairs["t"] == F.col("u"))).join(sketches.select("item_id", "sh", "n"), "item_id")
+    both = pairs.join(held, pairs["doc_id"].eqNullSafe(F.col("d")) & (pairs["t"] == F.col("u"))).join(sketches.select("item", "item_id", "sh", "n"), "item")
     found = F.size(F.array_intersect("sh", "all"))
     out = both.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), found.cast("long").alias("n_found"))
     out = out.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))

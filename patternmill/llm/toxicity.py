@@ -12,10 +12,11 @@ The machine is run over the whole clause, so a weight counts as its matched patt
 aimed patterns count more, denied and reported ones less. A document's clause scores give a few numbers, and a
 logistic function of them is the score.
 
-Learning takes at most ``sample`` labelled rows (lowest hashes first): one half gives the lexicon its weights, the
-log ratio of a word's or word beginning's rate in toxic and in other texts, the other half fits the logistic function.
-Only bounded results reach the driver: ``lexicon`` entries and a few numbers for each sampled row. Nothing but the
-text is an input of a score.
+Learning takes at most ``sample`` labelled rows (lowest hashes first). They give the lexicon its weights, the log ratio
+of a word's or word beginning's rate in toxic and in other texts. The logistic function is cross-fitted: the rows of
+one half are read with the weights that the other half gives, so no row is read with what it taught itself. Only
+bounded results reach the driver: ``lexicon`` entries and a few numbers for each sampled row. Nothing but the text is
+an input of a score.
 
 Defined results: null and empty texts get the score of a text without any pattern. Repeated rows are scored alike. A
 text is read whole. Without labels of both classes the seeds' weights and a fixed logistic function serve. An empty
@@ -169,10 +170,10 @@ def held_out(id_col: F.Column, parts: int = 4, part: int = 2) -> F.Column:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, kind, documents and occurrences in toxic and other texts); word '' has the totals of words."""
-    seen: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    """(feature, kind, half, documents and occurrences in toxic and other texts); word '' has the totals of words."""
+    seen: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
             words = Counter(w for w in TOKEN.findall((text or "").lower()) if len(w) > 2)
             begun: Counter = Counter()
             for w, n in words.items():
@@ -182,55 +183,67 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             side = 0 if toxic == 1 else 2
             for kind, found in ((0, words), (1, begun)):
                 for w, n in found.items():
-                    c = seen[w, kind]
+                    c = seen[w, kind, half]
                     c[side] += 1
                     c[side + 1] += n
-            c = seen["", 0]
+            c = seen["", 0, half]
             c[side] += 1
             c[side + 1] += words.total()
-    rows = [(w, k, *c) for (w, k), c in seen.items()]
+    rows = [(w, k, h, *c) for (w, k, h), c in seen.items()]
     for at in range(0, len(rows), 50_000):
         part = list(zip(*rows[at : at + 50_000]))
-        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), *(pa.array(x, pa.int64()) for x in part[2:])], ["f", "kind", "td", "to", "od", "oo"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict, dict, np.ndarray]:
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int32()), *(pa.array(x, pa.int64()) for x in part[3:])], ["f", "kind", "half", "td", "to", "od", "oo"])
+
+
+def weigh(rows: list[tuple[str, int, tuple]], least: int) -> tuple[dict, dict] | None:
+    """(weights of words, weights of word beginnings) from (feature, kind, counts); None without texts of both classes."""
+    totals = next((c for f, _, c in rows if f == ""), None)
+    if not totals or not totals[0] or not totals[2]:
+        return None
+    out: tuple[dict, dict] = ({}, {})
+    for f, kind, (td, to, od, oo) in rows:
+        weight = math.log((to + 0.5) / (oo + 0.5)) - math.log((totals[1] + 1) / (totals[3] + 1))
+        rate = math.log((td + 0.5) / (od + 0.5)) - math.log((totals[0] + 1) / (totals[2] + 1))
+        if f and td >= least and weight > 2.0 and rate > 1.5:
+            out[kind][f] = min(weight, 6.0) / 2
+    for w in SEEDS[INSULT] + SEEDS[THREAT]:
+        out[0].setdefault(w, 1.0)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int = 3000, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict, dict, np.ndarray]:
     """Weights of words, weights of word beginnings, and the logistic function's."""
     key = labels[id_col]
     rows = labels.where(key.isNotNull() & labels["toxic"].isin(0, 1) & ~held_out(key)).select(key.alias("__id"), F.xxhash64(key).alias("__h"), labels["toxic"].alias("__toxic"))
     rows = F.broadcast(rows.orderBy("__h", "__toxic").limit(sample))  # at most `sample` rows of three numbers
     texts = docs.select(docs[id_col].alias("__doc"), docs[text_col].alias("__text")).join(rows, F.col("__doc") == F.col("__id"))
-    half = F.pmod(F.col("__h"), F.lit(2)) == 0
-    seeds = {w: 1.0 for w in SEEDS[INSULT] + SEEDS[THREAT]}
-    counts = texts.where(half).select("__text", "__toxic").mapInArrow(_counts, "f string, kind int, td long, to long, od long, oo long").groupBy("f", "kind").agg(*(F.sum(c).alias(c) for c in ("td", "to", "od", "oo")))
-    top = counts.where((F.col("f") == "") | (F.col("td") >= 4)).withColumn("lift", (F.col("td") + 0.1) * F.log((F.col("to") + 0.5) / (F.col("oo") + 0.5)))
-    got = [r.asDict() for r in top.orderBy((F.col("f") != "").cast("int"), F.desc("lift"), "f", "kind").limit(lexicon + 1).collect()]
-    totals = next((r for r in got if r["f"] == ""), None)
-    if not totals or not totals["td"] or not totals["od"]:
-        return seeds, {}, PRIOR
-    base = math.log((totals["to"] + 1) / (totals["oo"] + 1))
-    words: dict[str, float] = {}
-    beginnings: dict[str, float] = {}
-    for r in got:
-        weight = math.log((r["to"] + 0.5) / (r["oo"] + 0.5)) - base
-        rate = math.log((r["td"] + 0.5) / (r["od"] + 0.5)) - math.log((totals["td"] + 1) / (totals["od"] + 1))
-        if r["f"] and weight > 2.0 and rate > 1.5:
-            (beginnings if r["kind"] else words)[r["f"]] = min(weight, 6.0) / 2
-    for w in seeds:
-        words.setdefault(w, 1.0)
+    texts = texts.select("__text", "__toxic", F.pmod(F.col("__h"), F.lit(2)).cast("int").alias("__half"))
+    names = ("td", "to", "od", "oo")
+    counts = texts.mapInArrow(_counts, "f string, kind int, half int, td long, to long, od long, oo long").groupBy("f", "kind")
+    counts = counts.agg(*(F.sum(c).alias(c) for c in names), *(F.sum(F.when(F.col("half") == 0, F.col(c)).otherwise(0)).alias(f"{c}0") for c in names))
+    top = counts.where((F.col("f") == "") | (F.col("td") >= least)).withColumn("lift", (F.col("td") + 0.1) * F.log((F.col("to") + 0.5) / (F.col("oo") + 0.5)))
+    got = top.orderBy((F.col("f") != "").cast("int"), F.desc("lift"), "f", "kind").limit(lexicon + 1).collect()
+    whole = [(r["f"], r["kind"], tuple(r[c] for c in names)) for r in got]
+    first = [(r["f"], r["kind"], tuple(r[f"{c}0"] for c in names)) for r in got]
+    second = [(f, k, tuple(a - b for a, b in zip(x, y))) for (f, k, x), (_, _, y) in zip(whole, first)]
+    model, halves = weigh(whole, least), (weigh(second, least - 1), weigh(first, least - 1))  # each half is read with the other's
+    if not model:
+        return {w: 1.0 for w in SEEDS[INSULT] + SEEDS[THREAT]}, {}, PRIOR
+    if not all(halves):
+        return *model, PRIOR
     machine = grammar()
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(words, beginnings)
+        known = [Lexicon(*h) for h in halves]
         for batch in batches:
-            x = [features(t or "", known, machine) for t in batch.column(0).to_pylist()]
+            x = [features(t or "", known[h], machine) for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "y"])
 
-    rest = texts.where(~half).select("__text", "__toxic").mapInArrow(numbers, "x array<double>, y int").collect()
+    rest = texts.mapInArrow(numbers, "x array<double>, y int").collect()
     y = np.array([r["y"] for r in rest], float)
     if not len(y) or y.min() == y.max():
-        return words, beginnings, PRIOR
-    return words, beginnings, fit_logistic(np.array([r["x"] for r in rest]), y)
+        return *model, PRIOR
+    return *model, fit_logistic(np.array([r["x"] for r in rest]), y)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
