@@ -2,12 +2,13 @@
 
 Each text is parsed as in prefix-free parsing: a rolling hash of ``gram`` bytes picks triggers, here the minimum of
 every ``window - gram + 1`` consecutive hashes, so that each string of ``window`` bytes holds a whole trigger, and the
-same triggers wherever it occurs. The triggers are the dictionary, their sequence the parse. In corpus order, strings
-that share their first ``window`` bytes are neighbours; since only that depth matters, the order of dictionary and
-parse is refined in two levels and no deeper: triggers are sorted over the whole corpus by hash range, and where a
-trigger is in two documents, the suffixes that begin at most ``window - gram`` bytes before it are sorted by the hash
-of their first ``window`` bytes, with the smallest doc_id that has it. Highly repetitive text meets once per chunk and
-distinct string; the rest of the corpus sends only its triggers, about one in ten bytes.
+same triggers wherever it occurs. Triggers cut a text into phrases; the distinct phrases of the corpus are the
+dictionary, each with the smallest doc_id that has it. In corpus order, strings that share their first ``window``
+bytes are neighbours; only that depth matters, so the suffixes are ordered to that depth and no deeper, by hashes in
+place of the bytes: first the triggers over the whole corpus, then, where a trigger is in two documents, the phrases,
+and last the suffixes of each dictionary phrase, taken only from the document that has the phrase first. So highly
+repetitive text is one phrase for each chunk and its suffixes meet once; the rest of the corpus sends only its
+triggers, about one in ten bytes.
 
 Candidates are chosen with 46 bits of a hash and decided with 64 bits of another.
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from patternmill.llm.chunks import REPLY, SLICE, any_within, chunk_table, covered, groups, member, replies, slices, unpack
 from patternmill.llm.common import Scratch
@@ -120,34 +122,57 @@ def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col:
             lo += len(p)
         return replies(t.column("chunk").to_pylist(), out)
 
-    def candidates(part: list[bytes], data: np.ndarray, starts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of windows that hold a shared trigger, their 64-bit keys)."""
+    def kept_of(found: pa.Table, which: str) -> np.ndarray:
+        """The sorted keys of one kind of reply."""
+        rows = zip(found.column("kind").to_pylist(), found.column("payload").to_pylist()) if found.num_rows else ()
+        return np.sort(np.concatenate([np.empty(0, U), *(np.frombuffer(p, U) for k, p in rows if k == which)]))
+
+    def phrases(lo: int, data: np.ndarray, starts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The phrases of a run of texts that may hold a shared string.
+
+        A phrase belongs to a trigger: the windows that begin behind the trigger before and not behind this one. Its
+        key comes from its first and its last window, which cover it. Returns first and last window, key and document
+        of each phrase, and of each candidate window its place, key and phrase.
+        """
         at, k, whole = triggers(data, starts, gram, window)
         hit = np.zeros(len(data), bool)
         hit[at[member(k, known)]] = True
-        here = np.flatnonzero(any_within(hit, window - gram + 1)[: len(whole)] & whole)
-        if not len(here):
-            return here, np.empty(0, U)
-        return here, mix(windows(_BYTES[data], window, _M2)[here])
-
-    def known_of(found: pa.Table) -> np.ndarray:
-        return np.sort(np.concatenate([np.frombuffer(p, U) for p in found.column("payload").to_pylist()])) if found.num_rows else np.empty(0, U)
+        candidate = any_within(hit, window - gram + 1)[: len(whole)] & whole
+        doc = np.searchsorted(starts, at, side="right") - 1
+        low = np.maximum(np.maximum(np.concatenate(([-1], at[:-1])) + 1 if len(at) else at, starts[doc]), at - (window - gram))
+        high = np.minimum(at, starts[doc + 1] - window)
+        total = np.concatenate(([0], np.cumsum(candidate)))
+        some = high >= low
+        some[some] = total[high[some] + 1] > total[low[some]]
+        low, high, doc = low[some], high[some], doc[some]
+        if not len(low):
+            none = np.empty(0, np.int64)
+            return none, none, np.empty(0, U), none, none, np.empty(0, U), none
+        w = mix(windows(_BYTES[data], window, _M2))
+        key = mix(w[low] + mix(w[high] + (high - low).astype(U)))
+        size = high - low + 1
+        which = np.repeat(np.arange(len(low)), size)
+        place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        wanted = candidate[place]
+        place, which = place[wanted], which[wanted]
+        return low, high, key, lo + doc, place, w[place], which
 
-    def refine(key: tuple, t: pa.Table, found: pa.Table) -> pa.Table:
-        t, rank = ordered(t)
+    def dictionary(key: tuple, t: pa.Table, found: pa.Table) -> pa.Table:
+        """Each phrase of the chunk once, with the smallest id that has it."""
+        t, _ = ordered(t)
         ids = t.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-        known, keys, owner = known_of(found), [], []
-        for lo, part, data, starts in runs(t):
-            here, k = candidates(part, data, starts, known)
+        known, keys, owner = kept_of(found, "trigger"), [np.empty(0, U)], [np.empty(0, np.int64)]
+        for lo, _, data, starts in runs(t):
+            _, _, k, d, *_ = phrases(lo, data, starts, known)
             order, first = groups(k)
             keys.append(k[order[first]])
-            owner.append((lo + np.searchsorted(starts, here[order[first]], side="right") - 1).astype(np.int32))
-        k, d = (np.concatenate(keys), np.concatenate(owner)) if keys else (np.empty(0, U), np.empty(0, np.int32))
+            owner.append(d[order[first]])
+        k, d = np.concatenate(keys), np.concatenate(owner)
         order, first = groups(k)  # stable: the first of a group has the smallest id
         return slices(key[0].as_py(), k[order[first]], bits, 64, 8, ids[d[order[first]]].astype("<i8"))
 
     def smallest(key: tuple, t: pa.Table) -> pa.Table:
-        """For each chunk, the strings that begin in a document with a smaller id than any of its own."""
+        """For each chunk, the keys that a document with a smaller id than any of its own has."""
         parts = [np.frombuffer(p, U) for p in t.column("payload").to_pylist()]
         keys = np.concatenate([p[: len(p) // 2] for p in parts])
         ids = np.concatenate([p[len(p) // 2 :].view(np.int64) for p in parts])
@@ -162,30 +187,61 @@ def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col:
             lo += n
         return replies(t.column("chunk").to_pylist(), out)
 
+    def first_holders(t: pa.Table, rank: np.ndarray, found: pa.Table) -> tuple[list[tuple], np.ndarray]:
+        """The phrases of each run, and which of all of them no smaller document has."""
+        known = kept_of(found, "trigger")
+        every = [phrases(lo, data, starts, known) for lo, _, data, starts in runs(t)]
+        k = np.concatenate([np.empty(0, U), *(x[2] for x in every)])
+        d = rank[np.concatenate([np.empty(0, np.int64), *(x[3] for x in every)])]
+        order, first = groups(k)
+        own = ~member(k, kept_of(found, "phrase"))
+        if len(k):
+            least = np.empty(len(k), d.dtype)
+            least[order] = np.repeat(d[order[first]], np.diff(np.append(first, len(order))))
+            own &= d == least
+        return every, own
+
+    def own_windows(every: list[tuple], own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each run: which phrases are first held here; place, key and document of their candidate windows."""
+        at = 0
+        for _, _, k, d, place, w, which in every:
+            mine = own[at : at + len(k)]
+            at += len(k)
+            good = mine[which]
+            yield mine, place[good], w[good], d[which[good]]
+
+    def refine(key: tuple, t: pa.Table, found: pa.Table) -> pa.Table:
+        t, rank = ordered(t)
+        ids = t.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+        keys, owner = [np.empty(0, U)], [np.empty(0, np.int64)]
+        for _, _, w, d in own_windows(*first_holders(t, rank, found)):
+            order, first = groups(w)
+            keys.append(w[order[first]])
+            owner.append(d[order[first]])
+        k, d = np.concatenate(keys), np.concatenate(owner)
+        order, first = groups(k)
+        return slices(key[0].as_py(), k[order[first]], bits, 64, 8, ids[d[order[first]]].astype("<i8"))
+
     def remove(key: tuple, t: pa.Table, found: pa.Table) -> pa.Table:
         t, rank = ordered(t)
-        kinds = found.column("kind").to_pylist() if found.num_rows else []
-        payloads = found.column("payload").to_pylist() if found.num_rows else []
-        pick = lambda which: np.sort(np.concatenate([np.empty(0, U), *(np.frombuffer(p, U) for p, k in zip(payloads, kinds) if k == which)]))
-        known, earlier = pick("trigger"), pick("earlier")
-        spots: list[tuple] = []
-        for lo, part, data, starts in runs(t):
-            here, k = candidates(part, data, starts, known)
-            d = rank[lo + np.searchsorted(starts, here, side="right") - 1].astype(np.int32)
-            spots.append((here, k, d))
-        every = np.concatenate([k for _, k, _ in spots]) if spots else np.empty(0, U)
-        owner = np.concatenate([d for _, _, d in spots]) if spots else np.empty(0, np.int32)
-        order, first = groups(every)
-        gone = member(every, earlier)
+        every, own = first_holders(t, rank, found)
+        spots = list(own_windows(every, own))
+        w = np.concatenate([np.empty(0, U), *(x[2] for x in spots)])
+        owner = rank[np.concatenate([np.empty(0, np.int64), *(x[3] for x in spots)])]
+        gone = member(w, kept_of(found, "window"))
+        order, first = groups(w)
         if len(order):
-            begin = np.empty(len(every), np.int32)
+            begin = np.empty(len(w), owner.dtype)
             begin[order] = np.repeat(owner[order[first]], np.diff(np.append(first, len(order))))
             gone |= owner > begin
         lost, spans, sizes, sha, at = [], [], [], [], 0
-        for (lo, part, data, starts), (here, k, _) in zip(runs(t), spots):
-            begins = np.zeros(len(data), bool)
-            begins[here[gone[at : at + len(here)]]] = True
-            at += len(here)
+        for (_, part, data, starts), (low, high, *_), (mine, place, _, _) in zip(runs(t), every, spots):
+            step = np.zeros(len(data) + 1, np.int64)
+            np.add.at(step, low[~mine], 1)
+            np.add.at(step, high[~mine] + 1, -1)
+            begins = np.cumsum(step[:-1]) > 0
+            begins[place[gone[at : at + len(place)]]] = True
+            at += len(place)
             cover = covered(begins, window) if begins.any() else begins
             for i, text in enumerate(part):
                 g = cover[starts[i] : starts[i + 1]]
@@ -197,16 +253,19 @@ def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col:
         longs = [pa.array(x, pa.int64()) for x in (sizes, lost, spans)]
         return pa.table({"doc_id": t.column("doc_id").cast(pa.int64()), "n_bytes": longs[0], "n_removed": longs[1], "n_spans": longs[2], "kept_sha256": pa.array(sha, pa.string())})
 
-    from pyspark.sql import functions as F
+    def kind(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("kind", F.lit(name))
 
-    trigger = scratch.save(table.groupBy("chunk").applyInArrow(parse, SLICE).groupBy("bucket").applyInArrow(shared, REPLY), "triggers")
+    trigger = kind(scratch.save(table.groupBy("chunk").applyInArrow(parse, SLICE).groupBy("bucket").applyInArrow(shared, REPLY), "triggers"), "trigger")
+    scratch.drop("nothing")
+    seen = table.groupBy("chunk").cogroup(trigger.groupBy("chunk")).applyInArrow(dictionary, SLICE)
+    known = trigger.unionByName(kind(scratch.save(seen.groupBy("bucket").applyInArrow(smallest, REPLY), "phrases"), "phrase"))
     scratch.drop("nothing")
-    refined = table.groupBy("chunk").cogroup(trigger.groupBy("chunk")).applyInArrow(refine, SLICE)
-    earlier = scratch.save(refined.groupBy("bucket").applyInArrow(smallest, REPLY), "earlier")
+    refined = table.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(refine, SLICE)
+    known = known.unionByName(kind(scratch.save(refined.groupBy("bucket").applyInArrow(smallest, REPLY), "windows"), "window"))
     scratch.drop("nothing")
-    both = trigger.withColumn("kind", F.lit("trigger")).unionByName(earlier.withColumn("kind", F.lit("earlier")))
-    out = scratch.save(table.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, OUT), "result")
-    scratch.drop("triggers", "earlier")
+    out = scratch.save(table.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(remove, OUT), "result")
+    scratch.drop("triggers", "phrases", "windows")
     for name in scratch.tables:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     return out
