@@ -10,7 +10,8 @@
    exactly the weighted Jaccard similarity.
 3. Bands deal the texts into buckets. Within a bucket, rounds of pivots replace all pairs: the smallest text of each
    bucket is compared with the texts that aren't yet linked to it; what is left unlinked after ``star_rounds`` is
-   compared across components, each pair once; copies and linked texts are never expanded into pairs.
+   compared across components, each pair once; copies and linked texts are never expanded into pairs. Only pairs
+   whose weights and whole signatures leave the threshold possible are made.
 4. A comparison is exact: sum of minimum counts over sum of maximum counts of the two multisets, at least 0.8.
 5. Classes are the connected components of the links (iterated minimum labels over shuffles, never on the driver).
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternmill.llm.common import Scratch
@@ -35,7 +36,8 @@ from patternmill.llm.vectors import U, WordHashes, mix, windows
 
 WORD = re.compile(r"[^\W_]+")
 BANDS, ROWS, WIDTH = 25, 5, 5
-SKETCH = "doc_id long, digest binary, bands array<long>"
+SKETCH = "doc_id long, digest binary, bands array<long>, weight long, nibbles array<long>"
+NIBBLES = -(-BANDS * ROWS // 16)  # longs of 16 signature components, four bits each
 _TO_UNIT = 2.0**-53
 
 
@@ -96,23 +98,49 @@ def bag_min_hash(values: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
         bound *= 2
 
 
+def pack_nibbles(sig: np.ndarray) -> list[int]:
+    low = np.zeros(NIBBLES * 16, U)
+    low[: len(sig)] = sig & 0xF
+    return np.bitwise_or.reduce(low.reshape(-1, 16) << (U(4) * np.arange(16, dtype=U)), axis=1).view(np.int64).tolist()
+
+
+def may_overlap(threshold: float, p: str, q: str) -> Column:
+    """False where weights or signatures (columns ``{p}s0``.. ``{p}w``) rule the threshold out.
+
+    Of m components, a pair at the threshold agrees in Binomial(m, threshold + (1 - threshold) / 16) by four bits; five
+    standard deviations below is the limit (one in three million).
+    """
+    m, agree = BANDS * ROWS, threshold + (1 - threshold) / 16
+    least = int(m * agree - 5 * (m * agree * (1 - agree)) ** 0.5)
+    differ = F.lit(0)
+    for i in range(NIBBLES):
+        x = F.col(f"{p}s{i}").bitwiseXOR(F.col(f"{q}s{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return (F.least(f"{p}w", f"{q}w") >= threshold * F.greatest(f"{p}w", f"{q}w")) & (differ <= m - least)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 1000):
-                digests, bands = [], []
+                digests, bands, weights, nibbles = [], [], [], []
                 for text in texts[at : at + 1000]:
                     values, counts, digest = shingles(text, memo)
                     digests.append(digest)
+                    weights.append(int(counts.sum()))
                     if not len(values):
                         bands.append([])
+                        nibbles.append([0] * NIBBLES)
                         continue
                     sig = bag_min_hash(values, counts, BANDS * ROWS)
                     grid = sig.reshape(BANDS, ROWS)
+                    nibbles.append(pack_nibbles(sig))
                     bands.append([xxhash.xxh3_64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(grid)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bands)).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bands)).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(weights, pa.int64()), pa.array(nibbles, pa.list_(pa.int64()))], ["doc_id", "digest", "bands", "weight", "nibbles"])
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, SKETCH)
 
@@ -174,7 +202,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, star_rounds: int = 2,
     rows = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("band", "key")
     rows = scratch.save(rows.join(crowded, ["band", "key"]), "buckets")
-    nodes = scratch.save(rows.select("rep").distinct(), "nodes")
+    nodes = reps.select(F.col("doc_id").alias("rep"), F.col("weight").alias("w"), *(F.col("nibbles")[i].alias(f"s{i}") for i in range(NIBBLES)))
+    nodes = scratch.save(nodes.join(rows.select("rep").distinct(), "rep", "left_semi"), "nodes")
+
+    def signed(p: str, rep: str) -> DataFrame:
+        return nodes.select(F.col("rep").alias(rep), *(F.col(c).alias(p + c) for c in nodes.columns[1:]))
+
     texts = scratch.save(own.join(nodes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "body"), "texts")
     tried = links = None
     comp = nodes.withColumn("comp", F.col("rep"))
@@ -185,12 +218,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, star_rounds: int = 2,
             order = F.struct("rep") if k == 0 else F.struct(F.xxhash64(F.lit(k), "rep"), "rep")
             pivots = at.groupBy("band", "key").agg(F.min(order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("band", "key", F.col("p.rep").alias("a"))
             edges = at.join(pivots, ["band", "key"]).where(F.col("rep") != F.col("a")).join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").where(F.col("ca") != F.col("comp"))
-            edges = edges.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+            edges = edges.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+            edges = edges.join(signed("x", "a"), "a").join(signed("y", "b"), "b").where(may_overlap(threshold, "x", "y")).select("a", "b")
         else:
             mixed = at.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("band", "key")
             left = at.join(mixed, ["band", "key"])
-            other = left.select("band", "key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            edges = left.select("band", "key", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(other, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+            one = left.select("band", "key", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(signed("x", "a"), "a")
+            other = left.select("band", "key", F.col("rep").alias("b"), F.col("comp").alias("cb")).join(signed("y", "b"), "b")
+            # the signatures are part of the join's condition: pairs they rule out are never made
+            edges = one.join(other, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_overlap(threshold, "x", "y")).select("a", "b")
         edges = edges.distinct()
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
