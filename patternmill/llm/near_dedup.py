@@ -63,7 +63,7 @@ def bag_min_hash(values: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
         return np.zeros(m, np.uint32)
     weight = float(counts.sum())
     bound = (np.log(m) + 7.0) / (weight * 1.0)
-    top = int(counts.max()).bit_length()
+    top = (int(counts.max()) - 1).bit_length() + 1  # the last block reaches the largest count
     while True:
         best, who = np.full(m, np.inf), np.zeros(m, np.uint64)
         for j in range(top):

@@ -185,6 +185,28 @@ def test_bag_min_hash_is_unbiased():
     assert np.abs(np.array(agree) - want).max() < 0.12
 
 
+@pytest.mark.parametrize(("one", "other"), [(3, 4), (5, 4), (5, 8), (7, 4), (7, 8), (250, 260)])
+def test_bag_min_hash_reaches_the_largest_count(one, other):
+    rng = np.random.default_rng(4)
+    agree = []
+    for _ in range(10):
+        keys = rng.integers(1, 1 << 62, 12).astype(np.uint64)
+        x, y = (near_dedup.bag_min_hash(keys, np.full(12, n), 512) for n in (one, other))
+        agree.append(np.mean(x == y))
+    assert abs(np.mean(agree) - min(one, other) / max(one, other)) < 0.03
+
+
+def test_repeated_phrases_are_near_duplicates(spark):
+    """One phrase seven and eight times, whose largest counts lie on both sides of a power of two."""
+    rows = []
+    for i in range(30):
+        phrase = " ".join(f"p{i}x{j}" for j in range(20))
+        rows += [(2 * i, " ".join([phrase] * 7)), (2 * i + 1, " ".join([phrase] * 8))]
+    want = brute.classes(rows)
+    assert want == {d: d - d % 2 for d, _ in rows}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(brute.frame(spark, rows)).collect()} == want
+
+
 # urls
 
 
