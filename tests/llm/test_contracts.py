@@ -138,6 +138,18 @@ def test_leaks(spark, sf_dir):
     assert decontaminate.find_leaks(brute.frame(spark, rows), table.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    """Items of fewer than five words are found where all their words stand in a row."""
+    items = [(1, "Zebra"), (2, "blue Whale"), (3, "one two, three"), (4, "four words are few"), (5, "one two three four five"), (6, "?!"), (7, None)]
+    rows = [(10, "a zebra and a BLUE whale"), (11, "zebra"), (12, "blue and whale; zebras"), (13, "so one two three four five"), (14, "four words, are few"), (15, "four words are very few"), (16, ""), (None, "zebra")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    held = {(d, i) for d, t in rows for i, x in items if brute.tokens(x) and f" {' '.join(brute.tokens(x))} " in f" {' '.join(brute.tokens(t))} "}
+    assert held == {(10, 1), (10, 2), (11, 1), (None, 1), (13, 3), (13, 5), (14, 4)}
+    for size in (2_000_000, 0):
+        out = decontaminate.find_leaks(brute.frame(spark, rows), table, broadcast_rows=size)
+        assert rows_of(out, "doc_id", "item_id", "n_shingles", "n_found") == sorted([(d, i, 1, 1) for d, i in held], key=str)
+
+
 # near duplicates
 
 
