@@ -99,6 +99,8 @@ QUERIES = {
                           f"WITH b AS ({_BASKET.format(u='p_brand')}), x AS (SELECT * FROM b WHERE sha IN (SELECT sha FROM b GROUP BY sha HAVING count(*) BETWEEN 2 AND 30)), p AS (SELECT l.unit AS a, r.unit AS b, count(*) AS sup FROM x l JOIN x r ON l.sha = r.sha AND l.unit < r.unit GROUP BY 1, 2 HAVING count(*) >= 8), w AS (SELECT *, length(a) = length(b) AS within FROM p), n AS (SELECT count(*) FILTER (within) AS nw, count(*) FILTER (NOT within) AS nc FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY within ORDER BY sup DESC, a, b) AS rank FROM w) SELECT a, b, sup, within, rank FROM r, n WHERE rank <= CASE WHEN within THEN greatest(50, 100 - nc) ELSE greatest(50, 100 - nw) END"),
     "concepts": (lambda s, d: bridge.concepts(_cards(s, d).select(F.col("card").alias("doc_id"), "tok"), _cards(s, d)),
                  "WITH c AS (SELECT DISTINCT p_partkey AS card, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS tok FROM part), f AS (SELECT tok, count(*) AS df FROM c WHERE length(tok) > 1 GROUP BY tok) SELECT tok, df AS msg_df, df AS card_df, df * df AS score FROM f ORDER BY score DESC, tok LIMIT 12"),
+    "concepts_of_items": (lambda s, d: bridge.concepts(S.tokens(s, d), S.item_tokens(s, d)),
+                          "WITH m AS (SELECT tok, count(DISTINCT doc_id) AS msg_df FROM (" + _TOK.format(g="lang") + ") GROUP BY tok), c AS (SELECT tok, count(DISTINCT item_id) AS card_df FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS tok FROM benchmark) GROUP BY tok) SELECT tok, msg_df, card_df, msg_df * card_df AS score FROM m JOIN c USING (tok) ORDER BY score DESC, tok LIMIT 12"),
     "convention_cube": (lambda s, d: conventions.cube(S.scopes(s, d)).select("cid", "pid", "v", "n"), f"WITH {_SCOPES} SELECT cid, pid, v, n FROM cube"),
     "conventions_all": (lambda s, d: conventions.score(conventions.cube(S.scopes(s, d))).where("level = 'all'"), _SCORE + "WHERE level = 'all'"),
     "conventions_role": (lambda s, d: conventions.score(conventions.cube(S.scopes(s, d))).where("level = 'role'"), _SCORE + "WHERE level = 'role'"),

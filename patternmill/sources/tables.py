@@ -25,6 +25,12 @@ def tokens(spark: SparkSession, sf_dir: str, group: str = "lang") -> DataFrame:
     return d.select("doc_id", F.col(group).alias("grp"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("tok"))
 
 
+def item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card, tok): the words of each benchmark item, by the rule of ``tokens``."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("card"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("tok"))
+
+
 def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scope, kind, role, dir1, dir2, pid, v): an order's categorical facts, in the place of its customer."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

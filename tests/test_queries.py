@@ -11,6 +11,12 @@ def test_sql(spark, sf_dir, duck, name):
     same(catalog.queries()[name](spark, sf_dir), duck, catalog.oracle_sql()[name])
 
 
+def test_concepts_join_two_sources(spark, sf_dir):
+    rows = catalog.queries()["concepts_of_items"](spark, sf_dir).collect()
+    assert len(rows) == 12 and any(r.msg_df != r.card_df for r in rows)
+    assert all(r.score == r.msg_df * r.card_df for r in rows)
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as entry
 
