@@ -15,9 +15,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (local runs)."""
+    """The folder that driver and executors share. Only a session on one machine gets a temporary one where it names
+    none: executors elsewhere would write to disks that nobody else reads."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="patternmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patternmill.llm.vectors import kept, tidy
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -37,12 +39,13 @@ BEYOND = "\u0100"
 class WordMemo(dict):
     """Ids of blank-separated words as little-endian bytes. Ids never depend on what stands beyond a blank.
 
-    One memo serves all tasks of a Python worker; it holds at most ``LIMIT`` words. A word of letters with marks behind
-    is two tokens to the tokenizer's splitter, so only its letters are encoded anew, many words in one call.
+    One memo serves all packing tasks of a Python worker. It has two generations of at most ``LIMIT`` words each (some
+    80 MB in all): words met again move to the younger one, which becomes the older when it is full. A word of letters
+    with marks behind is two tokens to the tokenizer's splitter, so only its letters are encoded anew, many words in
+    one call.
     """
 
-    LIMIT = 1_200_000
-    _made: dict[str, WordMemo] = {}
+    LIMIT, LONGEST = 200_000, 40
 
     def __init__(self, path: str):
         super().__init__()
@@ -50,12 +53,15 @@ class WordMemo(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     @classmethod
     def of(cls, path: str) -> WordMemo:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        memos = kept("packing", dict)
+        if path not in memos:
+            memos[path] = cls(path)
+        return memos[path]
 
     def _encode(self, words: list[str], each: int = 4096) -> None:
         for at in range(0, len(words), each):
@@ -79,10 +85,19 @@ class WordMemo(dict):
                 lo = hi
 
     def learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + 2 * len(new) > self.LIMIT:
+        """Afterwards each of the words is a key; until the next call."""
+        for w in self.long:
+            self.pop(w, None)
+        if len(self) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
-            new = words
+        older, new = self.older, []
+        for w in words:
+            if w not in self:
+                if w in older:
+                    self[w] = older[w]
+                else:
+                    new.append(w)
         letters, rest, marked = [], [], []
         for w in new:
             head = w.rstrip(MARKS)
@@ -97,6 +112,7 @@ class WordMemo(dict):
         rest += {t for _, _, t in marked if t not in self and t not in known}
         self._encode_letters(letters)
         self._encode(rest)
+        self.long = [w for w in (*new, *letters, *rest) if len(w) > self.LONGEST]
         for w, head, tail in marked:
             self[w] = self[head] + self[tail]
 
@@ -166,6 +182,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str] | str, capacity: int = 2048, end_id: int = 1, group_docs: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its place; ``tokenizer_path`` is a path or a function that gives it on the executor."""
 
+    @tidy("packing")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordMemo.of(tokenizer_path() if callable(tokenizer_path) else tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternmill.llm.common import Scratch
-from patternmill.llm.vectors import U, WordHashes, batched, mix, windows
+from patternmill.llm.vectors import U, WordHashes, batched, kept, mix, tidy, windows
 
 MEASURES = "doc_id long, host string, row long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<long>, line_words array<long>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -52,10 +52,11 @@ def repeat_words(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarr
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", window: int = 5) -> DataFrame:
+    @tidy("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, memo = TaskContext.get().partitionId() << 36, WordHashes()
+        row, memo = TaskContext.get().partitionId() << 36, kept("quality", WordHashes)
         for batch in batches:
             for at, texts in batched(batch.column(0), batch.column(1)):
                 words = [t.split() for t in texts]

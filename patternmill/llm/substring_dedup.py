@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame
 
 from patternmill.llm.chunks import REPLY, SLICE, any_within, chunk_table, covered, groups, member, replies, slices, unpack
 from patternmill.llm.common import Scratch
-from patternmill.llm.vectors import U, WordHashes, mix, windows
+from patternmill.llm.vectors import U, WordHashes, kept, mix, windows
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _M2 = 0xC2B2AE3D27D4EB4F
-_memo = WordHashes()
 
 
 def chunk_words(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(texts, word hashes end to end, where each document begins and the end)."""
     texts = [t or b"" for t in table.column("body").cast(pa.large_binary()).to_pylist()]
-    parts = [_memo.of(t.split()) for t in texts]
+    memo = kept("substring", WordHashes)
+    parts = [memo.of(t.split()) for t in texts]
     return texts, np.concatenate(parts) if parts else np.empty(0, U), np.cumsum([0, *map(len, parts)])
 
 

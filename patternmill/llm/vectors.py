@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +16,62 @@ _M = 0x9E3779B97F4A7C15
 
 
 class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered for the commonest words seen lately."""
+    """word bytes -> 64-bit hash, remembered for the short words seen lately (some 20 MB at most)."""
 
-    LIMIT = 400_000
+    LIMIT, LONGEST = 100_000, 40
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U, len(words))
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(owner: object, make: Callable[[], object]) -> object:
+    """What one operator keeps in a Python worker from task to task. Workers are used again by other operators, so what
+    those kept is let go first: a worker never holds the caches of two."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(owner: object = None) -> Callable:
+    """For a function over a task's Arrow batches: free memory goes back to the system when the task ends, and what
+    operators other than ``owner`` kept goes when it begins."""
+
+    def around(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if owner not in _kept:
+                _kept.clear()
+            try:
+                yield from run(batches)
+            finally:
+                _trim()
+
+        return inner
+
+    return around
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (splitmix64's finaliser)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
