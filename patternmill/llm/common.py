@@ -38,6 +38,10 @@ def write_file(spark: SparkSession, name: str, parts: Iterable[bytes], piece: in
     return fs.makeQualified(path).toString()
 
 
+#: Spark refuses tables of more than 100,000 buckets; beyond this number buckets grow instead.
+MOST_BUCKETS = 50_000
+
+
 class Scratch:
     """Tables under the shared folder that cut lineage and survive the loss of an executor.
 
@@ -47,7 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.root = spark, name, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.tables: list[str] = []
+        self.tables: list[tuple[str, DataFrame]] = []
 
     def path(self, label: str) -> str:
         return f"{self.root}/{label}"
@@ -57,13 +61,29 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, label: str, n: int, key: str) -> DataFrame:
-        """Write a table dealt into n buckets by key; later groupings by that key read it without a shuffle."""
-        table = f"{self.name}_{label}_{uuid.uuid4().hex}"
-        (df.repartition(n, key).write.mode("overwrite").format("parquet").option("compression", "zstd")
+    def bucketed(self, df: DataFrame, label: str, n: int, key: str, deal: bool = True) -> DataFrame:
+        """Write a table dealt into n buckets by key; later groupings by that key read it without a shuffle.
+
+        Without ``deal`` the rows of a key must lie in few partitions already: each partition writes its own files.
+        """
+        table, n = f"{self.name}_{label}_{uuid.uuid4().hex}", min(n, MOST_BUCKETS)
+        ((df.repartition(n, key) if deal else df).write.mode("overwrite").format("parquet").option("compression", "zstd")
          .bucketBy(n, key).saveAsTable(table))
-        self.tables.append(table)
-        return self.spark.table(table)
+        return self._keep(table)
+
+    def sorted_buckets(self, df: DataFrame, label: str, n: int, keys: list[str], deal: bool = True) -> DataFrame:
+        """Write a table in n buckets by its keys, each sorted by them; joins of such tables move no rows.
+
+        Without ``deal`` the rows must lie in their buckets' partitions already, or each task writes to many buckets.
+        """
+        table, n = f"{self.name}_{label}_{uuid.uuid4().hex}", min(n, MOST_BUCKETS)
+        ((df.repartition(n, *keys) if deal else df).write.mode("overwrite").format("parquet").option("compression", "zstd")
+         .bucketBy(n, *keys).sortBy(*keys).saveAsTable(table))
+        return self._keep(table)
+
+    def _keep(self, table: str) -> DataFrame:
+        self.tables.append((table, self.spark.table(table)))
+        return self.tables[-1][1]
 
     def drop(self, *labels: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -72,9 +92,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
         jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is done
 
-    def drop_tables(self) -> None:
-        while self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
+    def drop_tables(self, keep: list[DataFrame] = ()) -> None:
+        stay = [(name, df) for name, df in self.tables if any(df is k for k in keep)]
+        for name, df in self.tables:
+            if not any(df is k for k in keep):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = stay
         self.drop()
 
 
