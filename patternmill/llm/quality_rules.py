@@ -5,11 +5,12 @@ on. A line's distinct documents are counted per host (exact copies of a text are
 host's limit is boilerplate, and a document that loses nearly everything to boilerplate is rejected. The limit is
 ``min_docs`` documents or ``share`` of the host's documents, whichever is more, so a host of any size keeps its
 ordinary lines. Counting is two partial aggregations keyed by (host, line, text), so a host with a third of all rows,
-or a line that they all share, spreads over all tasks.
+or a line that they all share, spreads over all tasks. ``keep_good`` takes the lines above the limit out of the texts
+it keeps; ``quality_rules`` returns what was measured and judged.
 
 Defined results: a null or empty text has no words and fails the base rule (fewer than ``min_words``). A null host is
-a host. Rows that repeat a doc_id are judged one by one. An empty table gives an empty one. Columns other than the
-three named are not read.
+a host. Rows that repeat a doc_id are judged one by one. An empty table gives an empty one. Other columns are not
+read, or pass through ``keep_good`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from patternmill.llm.common import Scratch
 from patternmill.llm.vectors import U, WordHashes, batched, kept, mix, tidy, windows
@@ -99,8 +101,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return docs.select(docs[id_col], docs[text_col], docs[host_col]).mapInArrow(run, MEASURES)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, min_docs: int = 20, share: float = 0.1, least_left: float = 0.3) -> DataFrame:
-    """One row per document: the measures, ``boilerplate_words``, ``base_failed`` and ``kept``."""
+def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int = 10, max_repeat_percent: int = 20, min_docs: int = 20, share: float = 0.1, least_left: float = 0.3) -> tuple[DataFrame, Scratch]:
+    """One row per document: the measures, ``boilerplate`` (its lines above the limit), ``base_failed`` and ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality")
     m = scratch.save(measure(docs, id_col, text_col, host_col), "measures")
     lines = m.select("host", "row", "text_hash", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select("host", "row", "text_hash", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words"))
@@ -109,17 +111,39 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     frequent = seen.alias("s").join(hosts.alias("h"), F.col("s.host").eqNullSafe(F.col("h.host"))).where(F.col("n_docs") > F.col("host_docs") * share).select("s.host", "s.line")
     frequent = scratch.save(frequent, "frequent")
     lost = (lines.alias("l").join(frequent.alias("f"), (F.col("l.line") == F.col("f.line")) & F.col("l.host").eqNullSafe(F.col("f.host")))
-            .groupBy("l.row").agg(F.sum("l.words").alias("boilerplate_words")))
+            .groupBy("l.row").agg(F.sum("l.words").alias("boilerplate_words"), F.collect_set("l.line").alias("boilerplate")))
     out = m.drop("line_hashes", "line_words").join(lost, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
     left = F.col("n_words") - F.col("boilerplate_words")
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     depleted = (F.col("boilerplate_words") > 0) & ((left < min_words) | (left < least_left * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row"), scratch
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
+    """One row per document: the measures, ``boilerplate_words``, ``base_failed`` and ``kept``."""
+    return judged(docs, id_col, text_col, host_col, **rules)[0].drop("boilerplate")
+
+
+@F.arrow_udf(StringType())
+def without_lines(texts: pa.Array, hits: pa.Array) -> pa.Array:
+    """The texts without the lines whose hashes are listed; a null list leaves a text as it is."""
+    out = []
+    for text, gone in zip(texts.cast(pa.large_binary()).to_pylist(), hits.to_pylist()):
+        if gone is not None and text is not None:
+            found = {h & 0xFFFFFFFFFFFFFFFF for h in gone}
+            text = b"\n".join(x for x in text.split(b"\n") if not x.strip(_SPACE) or xxhash.xxh3_64_intdigest(x.strip(_SPACE).translate(_LOWER)) not in found)
+        out.append(text)
+    return pa.array(out, pa.large_binary()).cast(pa.string())
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "quality_kept")
-    judged = quality_rules(docs.withColumn("__key", F.xxhash64(text_col)).select(F.col("__key").alias(id_col), text_col, host_col), id_col, text_col, host_col, **rules)
-    bad = scratch.save(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__bad"), F.col("host").alias("__host")).distinct(), "rejected")
-    return docs.join(bad, (F.xxhash64(docs[text_col]) == F.col("__bad")) & docs[host_col].eqNullSafe(F.col("__host")), "left_anti")
+    """The documents that the rules keep, with all their columns, and without their lines above the host's limit."""
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("body"), docs[host_col].cast("string").alias("host"), F.xxhash64(docs[text_col]).alias("t"))
+    out, scratch = judged(own.select("t", "body", "host"), "t", "body", "host", **rules)
+    # one entry for each text and host: copies are judged alike
+    found = out.where(~F.col("kept") | F.col("boilerplate").isNotNull()).groupBy("doc_id", "host").agg(F.min("kept").alias("kept"), F.first("boilerplate").alias("gone"))
+    found = scratch.save(found.select(F.col("doc_id").alias("u"), F.col("host").alias("h"), "kept", "gone"), "found")
+    scratch.drop("measures", "frequent")
+    joined = own.join(found.hint("merge"), (own["t"] == found["u"]) & own["host"].eqNullSafe(found["h"]), "left").where(F.coalesce("kept", F.lit(True)))
+    text = F.when(F.col("gone").isNull(), F.col("body")).otherwise(without_lines("body", "gone"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

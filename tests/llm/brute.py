@@ -64,7 +64,10 @@ def classes(rows, threshold=0.8):
 def drop_lines(rows, limit=10):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     seen = Counter()
-    for _, keys in {(d, t): {key(x) for x in (t or "").split("\n")} for d, t in rows}.items():
+    documents = {}
+    for d, t in rows:
+        documents.setdefault(("t", t) if d is None else d, set()).update(key(x) for x in (t or "").split("\n"))
+    for keys in documents.values():
         seen.update(keys)
     out = []
     for d, t in rows:

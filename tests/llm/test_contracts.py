@@ -219,6 +219,30 @@ def test_repeated_phrases_are_near_duplicates(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(brute.frame(spark, rows)).collect()} == want
 
 
+def test_ids_that_repeat_or_lack(spark):
+    """Each row is judged by its own text; a class is named by its smallest id, or by none."""
+    base = lambda k: " ".join(f"{k}{j}" for j in range(60))
+    a, b = base("a"), base("b")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, base("c")), (None, base("c") + " more"), (None, base("e")), (9, base("e"))]
+    got = rows_of(near_dedup.near_duplicates(brute.frame(spark, rows)), "doc_id", "class_id")
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (None, None), (None, 9), (9, 9)], key=str)
+    kept = sorted((r.doc_id or 0, r.text) for r in near_dedup.one_of_each(brute.frame(spark, rows)).collect())
+    assert len(kept) == 4 and {(1, a), (1, b), (9, base("e"))} <= set(kept)
+
+
+def test_crowd_without_a_centre(spark):
+    """Texts that all share buckets and whose pairs lie on both sides of the threshold, more than the pivots resolve."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(90):
+        words = [f"c{j}" for j in range(150)]
+        for j in rng.choice(30, 3 + i % 3, replace=False) * 5:
+            words[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(brute.frame(spark, rows), pivots=1).collect()}
+    assert got == brute.classes(rows)
+
+
 # urls
 
 
@@ -279,10 +303,24 @@ def quality_plain(rows, min_docs=20, share=0.1):
     return sorted(out, key=str)
 
 
+def without_boilerplate(rows, min_docs=20, share=0.1):
+    """(id, text, host) -> the text without the lines that too many of the host's documents have."""
+    key = lambda x: x.strip(" \t\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    texts, seen = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        texts[s].add(t or "")
+        for x in (t or "").split("\n"):
+            if brute.words(x):
+                seen[s, key(x)].add(t or "")
+    often = lambda s, x: brute.words(x) and len(seen[s, key(x)]) > min_docs and len(seen[s, key(x)]) > share * len(texts[s])
+    return {(d, t, s): t and "\n".join(x for x in t.split("\n") if not often(s, x)) for d, t, s in rows}
+
+
 def test_quality(spark):
     rows = [(i, f"Accept all the cookies of this host please and then go on reading it\n{'own words ' * (i % 7)}only number {i}", "h1") for i in range(40)]
     rows += [(100 + i, f"accept ALL the cookies of this host please and then go on reading it \nonly number {i}", None if i % 2 else "h2") for i in range(50)]
     rows += [(200, "a # b $ c | <d>\n\n \na # b $ c | <d>\nlong line of a good many words that stand only here today", "h1")] + [(d and d + 500, t, "h3") for d, t in brute.hard_rows()]
+    rows += [(300 + i, "accept all the cookies of this host please and then go on reading it\n" + " ".join(f"w{i}x{j}" for j in range(14)) + "\n", "h1") for i in range(5)]
     out = quality_rules.quality_rules(brute.frame(spark, rows))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     want = quality_plain(rows)
@@ -290,7 +328,9 @@ def test_quality(spark):
     assert len({w[-1] for w in want if not w[-2]}) == 2, "the fixture holds depleted documents and kept ones"
     kept = sorted(((r.doc_id, r.text) for r in quality_rules.keep_good(brute.frame(spark, rows)).collect()), key=str)
     good = {w[0] for w in want if w[-1]}
-    assert kept == sorted([(d, t) for d, t, _ in rows if d in good], key=str)
+    cleaned = without_boilerplate(rows)
+    assert kept == sorted([(d, cleaned[d, t, s]) for d, t, s in rows if d in good], key=str)
+    assert any(t != cleaned[d, t, s] for d, t, s in rows if d in good), "a kept document loses lines"
     assert quality_rules.quality_rules(brute.frame(spark, [])).count() == 0
 
 
@@ -319,6 +359,17 @@ def test_suffixes(spark):
     assert suffix_dedup.remove_substrings(brute.frame(spark, [])).count() == 0
 
 
+def test_suffixes_of_one_id(spark):
+    """Rows of one id lie in several chunks, and don't remove each other's bytes."""
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    shared = [text(40) for _ in range(6)]
+    rows = [(5 if i % 3 else i // 3, f"{text(15)} {shared[i % 6]} {text(10)}") for i in range(60)] + [(None, f"{shared[i % 6]} {text(9)}") for i in range(20)]
+    got = suffix_dedup.remove_substrings(brute.frame(spark, rows), chunk_bytes=2000)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.remove_bytes(rows), key=str)
+
+
 def test_suffixes_of_documents(spark, sf_dir):
     rows = [(d, t) for d, t, _ in docs_of(spark, sf_dir, 120)]
     assert rows_of(suffix_dedup.remove_substrings(brute.frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.remove_bytes(rows), key=str)
@@ -330,21 +381,44 @@ def test_suffixes_of_documents(spark, sf_dir):
 def test_lines(spark):
     rows = [(i, f"Shared Line \nown {i}\n\nnine" if i < 9 else f"  shared line\r\nown {i}") for i in range(12)] + brute.hard_rows()
     want = sorted([(d, n, x, brute.sha(t)) for d, n, x, t in brute.drop_lines(rows)], key=str)
-    for size in (4 << 40, 2000):
-        assert rows_of(line_dedup.line_dedup(brute.frame(spark, rows), batch_bytes=size), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    for batches in (8, 11):
+        assert rows_of(line_dedup.line_dedup(brute.frame(spark, rows), batches=batches), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
     out = line_dedup.without_frequent_lines(brute.frame(spark, rows))
     assert out.columns == brute.SCHEMA.names
     assert sorted((brute.sha(r.text or "") for r in out.collect())) == sorted(w[3] for w in want)
     assert line_dedup.line_dedup(brute.frame(spark, [])).count() == 0
 
 
+def test_lines_of_one_id(spark):
+    """Rows that share an id are one document; ten rows without an id and with different texts are ten."""
+    rows = [(1, f"often\nown {i}") for i in range(20)] + [(None, f"rare\nother {i}") for i in range(10)]
+    out = {r.kept_sha256 for r in line_dedup.line_dedup(brute.frame(spark, rows)).collect()}
+    assert out == {brute.sha(f"often\nown {i}") for i in range(20)} | {brute.sha(f"other {i}") for i in range(10)}
+
+
+def test_names_clash(spark):
+    """Columns with the names that joins use inside pass through."""
+    names = ["doc_id", "text", "source", "hits", "left", "row", "d", "u", "n_lines", "keep", "kept", "gone", "node", "comp", "__hits", "__keep"]
+    docs = spark.createDataFrame([(i, f"shared line\nsome ten words of document number {i} that differ from one to another {i * i}", "s", *["x"] * 13) for i in range(12)], names)
+    lines = line_dedup.without_frequent_lines(docs)
+    assert lines.columns == names and {r.text.split("\n")[0][:4] for r in lines.collect()} == {"some"}
+    one = near_dedup.one_of_each(docs)
+    assert one.columns == names and one.count() >= 1
+    good = quality_rules.keep_good(docs)
+    assert good.columns == names and good.count() == 12
+
+
 def test_runs_are_levelled(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
+    runs = line_dedup.LineRuns(spark, limit=3, buckets=4, fanout=2)
+    counted = []
     for b in range(5):
-        runs.add(spark.createDataFrame([(h, 0, 1) for h in range(b, b + 3)], "h long, g int, n long"))
+        counts = spark.createDataFrame([(h, 0, 1) for h in range(b, b + 3)], "h long, g int, n long")
+        counted.append({r.h for r in runs.unseen(counts).collect()})
+        runs.add(counts)
     assert [len(x) for x in runs.levels] == [1, 0, 1], "five is 101 in base two"
-    assert rows_of(runs.totals(), "h", "n") == sorted([(h, sum(b <= h < b + 3 for b in range(5))) for h in range(7)], key=str)
-    assert rows_of(runs.unseen(spark.createDataFrame([(2, 0), (9, 0)], "h long, g int")), "h") == [(9,)]
+    seen = {h: sum(b <= h < b + 3 for b in range(5)) for h in range(7)}
+    assert {r.h for r in runs.frequent().collect()} == {h for h, n in seen.items() if n >= 3}
+    assert counted[4] == {4, 5, 6} - {h for h in range(7) if sum(b <= h < b + 3 for b in range(4)) >= 3}, "what the first four batches settled isn't counted again"
 
 
 # sharding
