@@ -4,13 +4,17 @@ Texts are dealt once, by document, into a bucketed table of chunks; every later
 lies. A pass hashes all positions of a chunk, sorts the distinct hashes once, and sends each bucket of the hash space
 one packed row of them. A bucket sees the whole corpus's hashes of its range, decides, and answers each chunk with one
 packed row. So a hash that a third of all documents share reaches its bucket at most once per chunk, and no task's work
-grows with the most frequent passage.
+grows with the most frequent passage. A slice is only sent where it holds a hash: with more buckets than hashes in a
+chunk there are as many rows as hashes, as in any shuffle, not chunks times buckets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +26,46 @@ REPLY = "chunk long, payload binary"
 
 
 def chunk_table(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, body, chunk) bucketed by chunk, and the bits that number the buckets of the hash space."""
+    """(doc_id, body, chunk) bucketed by chunk, and the bits that number the buckets of the hash space.
+
+    Dealt by id and text, so rows without an id, or that repeat one, spread as well.
+    """
     _, size = text_bytes(docs, text_col)
     n = blocks_for(docs.sparkSession, size, chunk_bytes)
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("body")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("body")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "body"), F.lit(n)))
     table = scratch.bucketed(own, "chunks", n, "chunk")
     scratch.drop("nothing")  # frees the shuffle that dealt the texts
     return table, max(1, (n - 1).bit_length())
 
 
+def ordered_chunks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """Like ``chunk_table``, but an earlier chunk's ids are never greater than a later chunk's; null ids come first.
+
+    An id may go on from one chunk into the next ones. Ranges of ids are dealt by rows and then cut by bytes, so that a
+    chunk stays near ``chunk_bytes`` however long the texts of a range are.
+    """
+    _, size = text_bytes(docs, text_col)
+    n = blocks_for(docs.sparkSession, size, chunk_bytes)
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("body"))
+    dealt = own.repartitionByRange(n, F.col("doc_id"), F.xxhash64("body")).sortWithinPartitions("doc_id")
+    piece = max(1, size // n)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, done = TaskContext.get().partitionId() << 20, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+            ends = done + np.cumsum(sizes)
+            chunk = pa.array(base + (ends - sizes) // (2 * piece))
+            done = int(ends[-1]) if len(ends) else done
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), chunk], ["doc_id", "body", "chunk"])
+
+    table = scratch.bucketed(dealt.mapInArrow(number, "doc_id long, body string, chunk long"), "chunks", n, "chunk", deal=False)
+    scratch.drop("nothing")
+    return table, max(1, (n - 1).bit_length())
+
+
 def pack(x: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each number."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()

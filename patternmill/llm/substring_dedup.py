@@ -131,6 +131,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     scratch.drop("anchors")
     out = scratch.save(table.groupBy("chunk").cogroup(twice.groupBy("chunk")).applyInArrow(remove, OUT), "result")
     scratch.drop("repeats")
-    for name in scratch.tables:
-        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    scratch.drop_tables()
     return out

@@ -10,7 +10,8 @@ and last the suffixes of each dictionary phrase, taken only from the document th
 repetitive text is one phrase for each chunk and its suffixes meet once; the rest of the corpus sends only its
 triggers, about one in ten bytes.
 
-Candidates are chosen with 46 bits of a hash and decided with 64 bits of another.
+Chunks of texts lie in the order of ids, so a key of a phrase or a window travels without the id of its document.
+Candidates are chosen with 46 bits of a hash and decided with 62 bits of another.
 
 Defined results: null and empty texts have no bytes. Texts shorter than ``window`` lose nothing. Rows of one doc_id
 never remove each other's bytes; a null doc_id counts as smaller than all others. A text is parsed whole. An empty
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patternmill.llm.chunks import REPLY, SLICE, any_within, chunk_table, covered, groups, member, replies, slices, unpack
+from patternmill.llm.chunks import REPLY, SLICE, any_within, covered, groups, member, ordered_chunks, replies, slices, unpack
 from patternmill.llm.common import Scratch
 from patternmill.llm.vectors import U, mix, windows
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _BYTES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _M2 = 0xC2B2AE3D27D4EB4F
-_NONE = ~U(0)
+#: Keys of phrases and windows have 62 bits; the two lowest say whose they are.
+_KEY = ~U(3)
 
 
 def runs(table: pa.Table, limit: int = 2 << 20) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
@@ -73,13 +75,13 @@ def triggers(data: np.ndarray, starts: np.ndarray, gram: int, window: int) -> tu
     padded = np.concatenate((np.zeros(span - 1, U), least, np.zeros(max(0, len(h) - len(least)), U)))
     most = sliding(padded, span, np.maximum)[: len(h)]
     at = np.flatnonzero(most == h)
-    return at, h[at] >> U(18), whole
+    return at, mix(h[at]) >> U(18), whole  # minima lie near zero; mixed again, they fill the buckets evenly
 
 
 def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    table, bits = chunk_table(docs, scratch, id_col, text_col, chunk_bytes)
+    table, bits = ordered_chunks(docs, scratch, id_col, text_col, chunk_bytes)
 
     def ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
         """The chunk by doc_id, and each row's rank (equal ids have one)."""
@@ -148,8 +150,8 @@ def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col:
         if not len(low):
             none = np.empty(0, np.int64)
             return none, none, np.empty(0, U), none, none, np.empty(0, U), none
-        w = mix(windows(_BYTES[data], window, _M2))
-        key = mix(w[low] + mix(w[high] + (high - low).astype(U)))
+        w = mix(windows(_BYTES[data], window, _M2)) & _KEY
+        key = mix(w[low] + mix(w[high] + (high - low).astype(U))) & _KEY
         size = high - low + 1
         which = np.repeat(np.arange(len(low)), size)
         place = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -169,22 +171,36 @@ def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col:
             owner.append(d[order[first]])
         k, d = np.concatenate(keys), np.concatenate(owner)
         order, first = groups(k)  # stable: the first of a group has the smallest id
-        return slices(key[0].as_py(), k[order[first]], bits, 64, 8, ids[d[order[first]]].astype("<i8"))
+        return owned(key[0].as_py(), k[order[first]], ids[d[order[first]]], ids)
+
+    def owned(chunk: int, keys: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> pa.Table:
+        """The chunk's keys with two bits each: is the owner the chunk's first id, is it the last? Chunks lie in the
+        order of ids, so nothing else is needed to tell which of two owners is smaller; each slice begins with both ids."""
+        if not len(keys):
+            return slices(chunk, keys, bits, 64, 8)
+        ends = np.array([ids[0], ids[-1]], "<i8")
+        out = slices(chunk, keys | (owner == ends[0]).astype(U) | ((owner == ends[1]).astype(U) << U(1)), bits, 64, 8)
+        head = ends.tobytes()
+        return out.set_column(2, "payload", pa.array([head + p for p in out.column("payload").to_pylist()], pa.binary()))
 
     def smallest(key: tuple, t: pa.Table) -> pa.Table:
         """For each chunk, the keys that a document with a smaller id than any of its own has."""
-        parts = [np.frombuffer(p, U) for p in t.column("payload").to_pylist()]
-        keys = np.concatenate([p[: len(p) // 2] for p in parts])
-        ids = np.concatenate([p[len(p) // 2 :].view(np.int64) for p in parts])
-        order, first = groups(keys)
-        low = np.minimum.reduceat(ids[order], first)
-        earlier = np.empty(len(keys), bool)
-        earlier[order] = np.repeat(low, np.diff(np.append(first, len(order)))) < ids[order]
+        t = t.sort_by("chunk")
+        data = t.column("payload").to_pylist()
+        ends = np.array([np.frombuffer(p, "<i8", 2) for p in data])
+        parts = [np.frombuffer(p, U, offset=16) for p in data]
+        every = np.concatenate(parts)
+        at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order, first = groups(every & _KEY)  # stable: a group begins in its earliest chunk
+        begin = np.empty(len(every), np.int64)
+        begin[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+        # the same document in two chunks: it ends the one and begins the other
+        same = (ends[at[begin], 1] == ends[at, 0]) & ((every[begin] & U(2)) > 0) & ((every & U(1)) > 0)
+        earlier = (at[begin] != at) & ~same
         out, lo = [], 0
         for p in parts:
-            n = len(p) // 2
-            out.append(p[:n][earlier[lo : lo + n]].tobytes())
-            lo += n
+            out.append((p & _KEY)[earlier[lo : lo + len(p)]].tobytes())
+            lo += len(p)
         return replies(t.column("chunk").to_pylist(), out)
 
     def first_holders(t: pa.Table, rank: np.ndarray, found: pa.Table) -> tuple[list[tuple], np.ndarray]:
@@ -220,7 +236,7 @@ def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col:
             owner.append(d[order[first]])
         k, d = np.concatenate(keys), np.concatenate(owner)
         order, first = groups(k)
-        return slices(key[0].as_py(), k[order[first]], bits, 64, 8, ids[d[order[first]]].astype("<i8"))
+        return owned(key[0].as_py(), k[order[first]], ids[d[order[first]]], ids)
 
     def remove(key: tuple, t: pa.Table, found: pa.Table) -> pa.Table:
         t, rank = ordered(t)
@@ -266,6 +282,5 @@ def remove_substrings(docs: DataFrame, window: int = 50, gram: int = 32, id_col:
     scratch.drop("nothing")
     out = scratch.save(table.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(remove, OUT), "result")
     scratch.drop("triggers", "phrases", "windows")
-    for name in scratch.tables:
-        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    scratch.drop_tables()
     return out
