@@ -19,8 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep_good(docs).select(COLUMNS)
+    """Documents that the quality rules keep, without the lines that too many documents of their source have."""
+    return quality_rules.keep_good(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
