@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternmill.plans import core, procedures, relational
+from patternmill.plans import core, mining, relational, structure
+
+PLANS = (core, relational, mining, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in core.QUERIES.items()} | relational.queries() | procedures.QUERIES
+    return {name: f for plan in PLANS for name, (f, _) in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in core.QUERIES.items() if sql} | relational.oracle_sql()
+    return {name: sql for plan in PLANS for name, (_, sql) in plan.QUERIES.items() if sql}

@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 from patternmill.functions import cells
 
 
-def language_bridge(tokens: DataFrame, keep: int = 6) -> DataFrame:
-    """tokens (doc_id, grp, tok) -> scored (tok, grp) pairs that save bits.
+def scored_pairs(tokens: DataFrame) -> DataFrame:
+    """tokens (doc_id, grp, tok) -> every (tok, grp) with k documents of df, the bits it saves, and both tests.
 
     A document with a word is a trial, its group the outcome; the group's share of all documents is the base. The
-    index cost is that of every observed pair.
+    index cost is that of every observed pair. A bridge is an excess: the word's rate must exceed the base.
     """
     docs = tokens.select("doc_id", "grp").distinct()
     base = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).crossJoin(docs.agg(F.count(F.lit(1)).alias("N")))
     pair = tokens.groupBy("tok", "grp").agg(F.count(F.lit(1)).alias("k"))
     df = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     size = pair.agg(F.count(F.lit(1)).alias("pairs"))
-    rows = pair.join(df, "tok").join(F.broadcast(base), "grp").crossJoin(F.broadcast(size))
+    rows = pair.join(df, "tok").join(base, "grp").crossJoin(F.broadcast(size))  # one number
     p = F.col("g") / F.col("N")
     bits = cells.binary_bits(F.col("k"), F.col("df"), p, cells.index_cost(F.col("pairs")))
-    rows = rows.where((p > 0) & (p < 1) & (F.col("k") / F.col("df") > p)).withColumn("bits", bits).where(F.col("bits") > 0)
-    rows = rows.withColumn("clears", cells.clears_loss(F.col("k"), F.col("df")))
+    rows = rows.where((p > 0) & (p < 1) & (F.col("k") / F.col("df") > p)).withColumn("bits", bits)
+    certified = (F.col("bits") > 0) & cells.clears_loss(F.col("k"), F.col("df"))
+    return rows.select("tok", "grp", "k", "df", "bits", certified.alias("certified"))
+
+
+def language_bridge(tokens: DataFrame, keep: int = 6, words: int = 1500) -> DataFrame:
+    """The certified pairs: at most ``keep`` groups of a word by bits, of the ``words`` words with most documents in them."""
+    rows = scored_pairs(tokens).where("certified")
     rank = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc(F.round("bits", 6)), "grp"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= keep).select("tok", "grp", "k", "df", F.round("bits", 6).alias("bits"), F.col("clears").alias("certified"))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= keep)
+    top = rows.groupBy("tok").agg(F.sum("k").alias("total")).where(F.col("total") >= 2).orderBy(F.desc("total"), "tok").limit(words).select("tok")
+    return rows.join(top, "tok", "left_semi").select("tok", "grp", "k", "df", F.round("bits", 6).alias("bits"), "certified")
 
 
 def concepts(messages: DataFrame, cards: DataFrame, top: int = 12) -> DataFrame:

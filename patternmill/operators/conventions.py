@@ -1,4 +1,4 @@
-"""The convention cube: what a population does consistently, at every level of context, and who deviates."""
+"""The plain convention cube: unweighted counts at every level of context (see ``facts`` for weights and acceptance)."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ def score(counts: DataFrame, least: int = 5) -> DataFrame:
     alphabet = counts.select("pid", "v").distinct().groupBy("pid").agg(F.count(F.lit(1)).alias("B"))
     candidates = total.where(F.col("total") >= least).select(*cell).distinct().agg(F.count(F.lit(1)).alias("cells"))
     ref = total.where(F.col("level") == "all").select("kind", "pid", "v", F.col("n").alias("rn"), F.col("total").alias("rt"))
-    rows = total.join(F.broadcast(alphabet), "pid").join(ref, ["kind", "pid", "v"], "left")
+    rows = total.join(alphabet, "pid").join(ref, ["kind", "pid", "v"], "left")
     k = F.col("B") + 1
     own = cells.kt(F.col("n"), F.col("total"), k)
     against = F.when(F.col("level") == "all", 1 / F.greatest(F.col("B"), F.lit(2))).otherwise(cells.kt(F.col("rn"), F.col("rt"), k))
@@ -50,28 +50,10 @@ def score(counts: DataFrame, least: int = 5) -> DataFrame:
     return out.select(*cell, "level", F.col("v").alias("expected"), "n", "total", F.round("bits", 6).alias("bits"), clears.alias("clears"), ((F.col("bits") > 0) & clears & ~F.col("v").isin(FALLBACK)).alias("certified"))
 
 
-def deviations(scopes: DataFrame, counts: DataFrame, tau: float = 3.0) -> DataFrame:
-    """Scopes whose value costs at least tau bits more than the expected one in the governing context.
-
-    The smallest context that speaks for a property governs; ties go role, directory, all.
-    """
-    total = counts.withColumn("total", F.sum("n").over(Window.partitionBy("cid", "kind", "pid")))
-    top = total.groupBy("cid", "level", "kind", "pid").agg(F.max("total").alias("total"), F.min(F.struct((-F.col("n")).alias("o"), F.col("v").alias("v"))).alias("b"))
-    top = top.select("cid", "level", "kind", "pid", "total", F.col("b.v").alias("expected"), (-F.col("b.o")).alias("best"))
-    order = F.when(F.col("level") == "role", 0).when(F.col("level") == "dir", 1).otherwise(2)
-    seen = contexts(scopes).drop("level", "up").join(F.broadcast(top), ["cid", "kind", "pid"]).where(F.col("total") >= 5)
-    rank = F.row_number().over(Window.partitionBy("scope", "pid").orderBy("total", order, "cid"))
-    governed = seen.withColumn("rank", rank).where(F.col("rank") == 1).where(F.col("v") != F.col("expected"))
-    own = total.select("cid", "kind", "pid", "v", "n")
-    cost = F.log2((F.col("best") + 0.5) / (F.coalesce("n", F.lit(0)) + 0.5))
-    out = governed.join(F.broadcast(own), ["cid", "kind", "pid", "v"], "left").withColumn("bits", cost)
-    return out.where(F.col("bits") >= tau).select("scope", "pid", "cid", "v", "expected", F.round("bits", 6).alias("bits"))
-
-
 def governing(scopes: DataFrame, counts: DataFrame) -> DataFrame:
     """How many scopes each context governs, by property."""
     total = counts.groupBy("cid", "level", "kind", "pid").agg(F.sum("n").alias("total"))
     order = F.when(F.col("level") == "role", 0).when(F.col("level") == "dir", 1).otherwise(2)
-    seen = contexts(scopes).drop("level", "up").join(F.broadcast(total), ["cid", "kind", "pid"])
+    seen = contexts(scopes).drop("level", "up").join(total, ["cid", "kind", "pid"])
     rank = F.row_number().over(Window.partitionBy("scope", "pid").orderBy("total", order, "cid"))
     return seen.withColumn("rank", rank).where(F.col("rank") == 1).groupBy("cid", "pid").agg(F.count(F.lit(1)).alias("governed"))

@@ -54,23 +54,28 @@ def _bridge_sql(group: str) -> str:
     k = _KT.format(c="k", n="df")
     return f"""WITH t AS ({_TOK.format(g=group)}), d AS (SELECT DISTINCT doc_id, grp FROM t), base AS (SELECT grp, count(*) AS g, (SELECT count(*) FROM d) AS N FROM d GROUP BY grp),
 pair AS (SELECT tok, grp, count(*) AS k FROM t GROUP BY 1, 2), f AS (SELECT tok, count(*) AS df FROM t GROUP BY 1), u AS (SELECT count(*) AS pairs FROM pair),
-s AS (SELECT tok, grp, k, df, k * log2({k} / (g / N)) + (df - k) * log2((1 - {k}) / (1 - g / N)) - 0.5 * log2(greatest(df, 2)) - ceil(log2(greatest(pairs, 2))) AS bits, {k} >= 7.0 / 8 AS certified
-      FROM pair JOIN f USING (tok) JOIN base USING (grp), u WHERE g / N > 0 AND g / N < 1 AND k / df > g / N),
-r AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY round(bits, 6) DESC, grp) AS rk FROM s WHERE bits > 0)
-SELECT tok, grp, k, df, round(bits, 6) AS bits, certified FROM r WHERE rk <= 6"""
+s AS (SELECT tok, grp, k, df, k * log2({k} / (g / N)) + (df - k) * log2((1 - {k}) / (1 - g / N)) - 0.5 * log2(greatest(df, 2)) - ceil(log2(greatest(pairs, 2))) AS bits, {k} >= 7.0 / 8 AS clears
+      FROM pair JOIN f USING (tok) JOIN base USING (grp), u WHERE g / N > 0 AND g / N < 1 AND k / df > g / N)"""
+
+
+def _bridge_top(group: str) -> str:
+    return f"""{_bridge_sql(group)}, r AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY round(bits, 6) DESC, grp) AS rk FROM s WHERE bits > 0 AND clears),
+w AS (SELECT tok FROM r WHERE rk <= 6 GROUP BY tok HAVING sum(k) >= 2 ORDER BY sum(k) DESC, tok LIMIT 1500) SELECT tok, grp, k, df, round(bits, 6) AS bits, true AS certified FROM r WHERE rk <= 6 AND tok IN (SELECT tok FROM w)"""
 
 
 _CHANGE = "WITH e AS (SELECT user_id AS key, ts, event_id AS ord, event_type AS v, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, min(ts) OVER (PARTITION BY user_id) AS born FROM events)"
 _POINT = """
-WITH obs AS (SELECT DISTINCT ts, event_type AS v FROM events),
-seq AS (SELECT e.exp, o.ts, sum(CASE WHEN o.v = e.exp THEN 1 ELSE 0 END) AS x, count(*) AS m FROM obs o, (SELECT DISTINCT v AS exp FROM obs) e GROUP BY 1, 2),
-cum AS (SELECT exp, ts, sum(x) OVER w AS a, sum(m) OVER w AS n, sum(x) OVER (PARTITION BY exp) AS A_, sum(m) OVER (PARTITION BY exp) AS N_ FROM seq WINDOW w AS (PARTITION BY exp ORDER BY ts)),
-code AS (SELECT exp, ts,
+obs AS (SELECT DISTINCT ts, v FROM rows_), seq AS (SELECT e.exp, o.ts, count(*) FILTER (o.v = e.exp) AS x, count(*) AS m FROM obs o, (SELECT DISTINCT v AS exp FROM obs) e GROUP BY 1, 2),
+cum AS (SELECT exp, ts, coalesce(sum(x) OVER w, 0) AS a, sum(m) OVER w AS n, sum(x) OVER (PARTITION BY exp) AS A_, sum(m) OVER (PARTITION BY exp) AS N_ FROM seq WINDOW w AS (PARTITION BY exp ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+code AS (SELECT exp, ts, a, n, A_, N_,
   -(lgamma(A_ + 0.5) + lgamma(N_ - A_ + 0.5) - ln(pi()) - lgamma(N_ + 1)) / ln(2) AS one,
   -(lgamma(a + 0.5) + lgamma(n - a + 0.5) - ln(pi()) - lgamma(n + 1)) / ln(2) - (lgamma(A_ - a + 0.5) + lgamma(N_ - n - (A_ - a) + 0.5) - ln(pi()) - lgamma(N_ - n + 1)) / ln(2) AS two
-  FROM cum WHERE n < N_),
-best AS (SELECT exp, count(*) AS cuts, max(one) AS one, min((round(two, 6), ts)) AS b FROM code GROUP BY exp)
-SELECT exp, cuts, b[2] AS at, round(one - b[1] - log2(cuts), 4) AS gain, one - b[1] - log2(cuts) > 0 AS moved FROM best"""
+  FROM cum WHERE n > 0),
+best AS (SELECT exp, count(*) AS cuts, max(one) AS one, min((round(two, 6), ts, a, n, A_, N_)) AS b FROM code GROUP BY exp),
+g AS (SELECT exp, cuts, b[2] AS \"at\", one - b[1] - log2(cuts) AS gain, b[3] / b[4] AS before, (b[5] - b[3]) / (b[6] - b[4]) AS after, (b[5] - b[3] + 0.5) / (b[6] - b[4] + 1.0) >= 0.875 AS still FROM best)
+SELECT exp, cuts, \"at\", round(gain, 4) AS gain, gain > 0 AS moved, gain > 0 AND after < before AND NOT still AS fading FROM g"""
+_EVERY = "WITH rows_ AS (SELECT ts, event_type AS v FROM events), "
+_BIRTH = "WITH rows_ AS (SELECT ts, event_type AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1), "
 
 
 def _cards(s, d):
@@ -82,13 +87,36 @@ def _names(s, d):
     return S.table(s, d, "customer").select("c_custkey", "c_name")
 
 
+def _all_names(s, d):
+    c, p, u = S.table(s, d, "customer"), S.table(s, d, "part"), S.table(s, d, "pages")
+    return c.select(F.col("c_name").alias("name")).union(p.select("p_name")).union(p.select("p_brand")).union(u.select("url")).distinct()
+
+
+# one rule at a time, each on what the rule before it left
+_STEM = "WITH t AS (SELECT DISTINCT tok FROM (" + _TOK.format(g="lang") + ")), a AS (SELECT tok, CASE WHEN tok LIKE '%ies' THEN left(tok, -3) || 'y' ELSE tok END AS x FROM t), b AS (SELECT tok, CASE WHEN x LIKE '%ses' OR x LIKE '%xes' OR x LIKE '%shes' OR x LIKE '%ches' THEN left(x, -2) ELSE x END AS x FROM a), c AS (SELECT tok, CASE WHEN x LIKE '%s' THEN left(x, -1) ELSE x END AS x FROM b),"
+_STEM += " d AS (SELECT tok, x, length(x) >= 6 AS long, CASE WHEN x LIKE '%ation' THEN left(x, -5) || 'ate' ELSE x END AS y FROM c), e AS (SELECT tok, x, long, CASE WHEN y LIKE '%tion' OR y LIKE '%sion' THEN left(y, -4) || 't' ELSE y END AS y FROM d), f AS (SELECT tok, x, long, CASE WHEN y LIKE '%ing' THEN left(y, -3) ELSE y END AS y FROM e), g AS (SELECT tok, CASE WHEN NOT long THEN x WHEN y LIKE '%er' OR y LIKE '%or' THEN left(y, -2) ELSE y END AS x FROM f)"
+_STEM += " SELECT tok, CASE WHEN length(tok) <= 3 THEN tok WHEN length(x) >= 5 AND x LIKE '%e' THEN left(x, -1) ELSE x END AS stem FROM g"
+
+
+def _shape_sql() -> str:
+    x = "regexp_replace(regexp_replace(regexp_replace(name, '[A-Z]+', 'U', 'g'), '[a-z0-9]+', 'a', 'g'), '[^Ua_$.-]', '?', 'g')"
+    for mark in ("_", "-", "[$]", "[.]", "[?]"):
+        x = f"regexp_replace({x}, '{mark}{mark}+', '({mark.strip('[]')})+', 'g')"
+    x = f"regexp_replace({x}, '(Ua|_a|_U|-a|-U|[.]a|[.]U|[$]a|[$]U)', '<\\1>', 'g')"
+    for unit in ("Ua", "_a", "_U", "-a", "-U", ".a", ".U", "$a", "$U"):
+        x = f"regexp_replace({x}, '(<[{unit[0]}]{unit[1]}>)+', '({unit})+', 'g')"
+    return f"WITH n AS (SELECT c_name AS name FROM customer UNION SELECT p_name FROM part UNION SELECT p_brand FROM part UNION SELECT url FROM pages) SELECT name, {x} AS shape FROM n"
+
+
+_SHAPE = _shape_sql()
+
 QUERIES = {
-    "language_bridge": (lambda s, d: bridge.language_bridge(S.tokens(s, d, "lang")), _bridge_sql("lang")),
-    "source_bridge": (lambda s, d: bridge.language_bridge(S.tokens(s, d, "source")), _bridge_sql("source")),
+    "language_bridge": (lambda s, d: bridge.language_bridge(S.tokens(s, d, "lang")), _bridge_top("lang")),
+    "source_bridge": (lambda s, d: bridge.scored_pairs(S.tokens(s, d, "source")).withColumn("bits", F.round("bits", 6)), _bridge_sql("source") + " SELECT tok, grp, k, df, round(bits, 6) AS bits, bits > 0 AND clears AS certified FROM s"),
     "cochange_partners": (lambda s, d: cochange.partners(S.baskets(s, d, "p_brand")), _partners_sql("p_brand")),
     "cochange_by_type": (lambda s, d: cochange.partners(S.baskets(s, d, "p_type")), _partners_sql("p_type")),
-    "cochange_ambient": (lambda s, d: cochange.partners(S.baskets(s, d, "p_type")).where("not certified").select("a", "b", "gp", "ambient"),
-                         f"SELECT a, b, gp, ambient FROM ({_partners_sql('p_type')}) WHERE NOT certified"),
+    "cochange_ambient": (lambda s, d: cochange.partners(S.baskets(s, d, "p_type"), high=200).select("a", "b", "gp", "ambient"),
+                         f"SELECT a, b, gp, ambient FROM ({_partners_sql('p_type').replace('BETWEEN 2 AND 30', 'BETWEEN 2 AND 200')})"),
     "cochange_support": (lambda s, d: cochange.pair_support(cochange.bounded_baskets(S.baskets(s, d, "p_brand"))),
                          f"WITH b AS ({_BASKET.format(u='p_brand')}), x AS (SELECT * FROM b WHERE sha IN (SELECT sha FROM b GROUP BY sha HAVING count(*) BETWEEN 2 AND 30)) SELECT l.unit AS a, r.unit AS b, count(*) AS sup FROM x l JOIN x r ON l.sha = r.sha AND l.unit < r.unit GROUP BY 1, 2 HAVING count(*) >= 8"),
     "footprint_stats": (lambda s, d: cochange.unit_counts(cochange.bounded_baskets(S.baskets(s, d, "p_brand"))),
@@ -106,23 +134,20 @@ QUERIES = {
     "conventions_role": (lambda s, d: conventions.score(conventions.cube(S.scopes(s, d))).where("level = 'role'"), _SCORE + "WHERE level = 'role'"),
     "conventions_dir": (lambda s, d: conventions.score(conventions.cube(S.scopes(s, d))).where("level = 'dir'"), _SCORE + "WHERE level = 'dir'"),
     "governing_fact": (lambda s, d: conventions.governing(S.scopes(s, d), conventions.cube(S.scopes(s, d))), _GOVERN + " SELECT cid, pid, count(*) AS governed FROM gov WHERE rk = 1 GROUP BY 1, 2"),
-    "deviations": (lambda s, d: conventions.deviations(S.scopes(s, d), conventions.cube(S.scopes(s, d)), 1.0),
-                   _GOVERN + ", best AS (SELECT cid, pid, min((-n, v)) AS b FROM cube GROUP BY 1, 2) SELECT scope, g.pid, g.cid, g.v, b[2] AS expected, round(log2((-b[1] + 0.5) / (n + 0.5)), 6) AS bits FROM gov g JOIN best USING (cid, pid) JOIN cube c ON c.cid = g.cid AND c.pid = g.pid AND c.v = g.v WHERE rk = 1 AND total >= 5 AND g.v <> b[2] AND log2((-b[1] + 0.5) / (n + 0.5)) >= 1.0"),
     "value_changes": (lambda s, d: timeline.changes(S.values(s, d)), _CHANGE + " SELECT key, ord, was, v FROM e WHERE was IS NULL OR was <> v"),
     "lifecycle": (lambda s, d: timeline.lifecycle(S.values(s, d)),
                   _CHANGE + " SELECT key, min(ts) AS first, max(ts) AS last, sum(CASE WHEN was <> v THEN 1 ELSE 0 END)::BIGINT AS mods, max(CASE WHEN was <> v AND ts <= born + INTERVAL 14 DAY THEN 1 ELSE 0 END) AS churn, sum(CASE WHEN v = 'error' THEN 1 ELSE 0 END)::BIGINT AS fixes FROM e GROUP BY key"),
     "held_repairs": (lambda s, d: timeline.held(S.values(s, d), "click"),
                      _CHANGE + " SELECT key, sum(CASE WHEN was = 'click' AND v <> 'click' THEN 1 ELSE 0 END)::BIGINT AS departures, sum(CASE WHEN was <> 'click' AND v = 'click' THEN 1 ELSE 0 END)::BIGINT AS repairs FROM e GROUP BY key"),
-    "rejected_values": (lambda s, d: timeline.rejected(S.values(s, d)),
-                        "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS final FROM events GROUP BY 1), t AS (SELECT DISTINCT user_id, event_type AS v FROM events) SELECT v, count(*) AS tried, count(*) FILTER (v <> final) AS reverted, count(*) >= 5 AND 3 * count(*) FILTER (v <> final) >= 2 * count(*) AS rejected FROM t JOIN l USING (user_id) GROUP BY v"),
-    "change_point": (lambda s, d: timeline.change_point(S.values(s, d)), _POINT),
+    "rejected_values": (lambda s, d: timeline.rejected(S.values(s, d), "click"),
+                        "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS final FROM events GROUP BY 1), t AS (SELECT DISTINCT user_id, event_type AS v FROM events WHERE event_type <> 'click') SELECT v, count(*) AS tried, count(*) FILTER (v <> final) AS reverted, count(*) >= 5 AND 3 * count(*) FILTER (v <> final) >= 2 * count(*) AS rejected FROM t JOIN l USING (user_id) GROUP BY v"),
+    "change_point": (lambda s, d: timeline.change_point(S.values(s, d)), _EVERY + _POINT),
+    "change_point_births": (lambda s, d: timeline.change_point(timeline.births(S.values(s, d))), _BIRTH + _POINT),
     "tokenize": (lambda s, d: _cards(s, d), "SELECT DISTINCT p_partkey AS card, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS tok FROM part"),
-    "norm_tok": (lambda s, d: S.tokens(s, d).select("tok").distinct().withColumn("stem", T.norm_tok(F.col("tok"))),
-                 f"WITH t AS (SELECT DISTINCT tok FROM ({_TOK.format(g='lang')})), a AS (SELECT tok, CASE WHEN length(tok) <= 3 THEN tok WHEN tok LIKE '%ies' THEN regexp_replace(tok, 'ies$', 'y') WHEN regexp_matches(tok, '(ses|xes|shes|ches)$') THEN left(tok, -2) WHEN tok LIKE '%s' THEN left(tok, -1) ELSE tok END AS x FROM t), b AS (SELECT tok, CASE WHEN length(tok) > 3 AND length(x) >= 6 THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, 'ation$', 'ate'), '([ts])ion$', 't'), 'ing$', ''), '(er|or)$', '') ELSE x END AS x FROM a) SELECT tok, CASE WHEN length(tok) > 3 AND length(x) >= 5 AND x LIKE '%e' THEN left(x, -1) ELSE x END AS stem FROM b"),
-    "name_shape": (lambda s, d: _names(s, d).groupBy(T.name_shape(F.col("c_name")).alias("shape")).agg(F.count(F.lit(1)).alias("n")),
-                   "SELECT regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]+', 'U', 'g'), '[a-z0-9]+', 'a', 'g'), '(?:Ua){2,}', '(Ua)+', 'g') AS shape, count(*) AS n FROM customer GROUP BY 1"),
+    "norm_tok": (lambda s, d: S.tokens(s, d).select("tok").distinct().withColumn("stem", T.norm_tok(F.col("tok"))), _STEM),
+    "name_shape": (lambda s, d: _all_names(s, d).select("name", T.name_shape(F.col("name")).alias("shape")), _SHAPE),
     "suffix_stem": (lambda s, d: S.table(s, d, "pages").select("page_id", T.suffix(F.regexp_replace("url", r"[?#].*$", "")).alias("suffix"), T.stem(F.regexp_replace("url", r"[?#].*$", "")).alias("stem")),
-                    r"WITH b AS (SELECT page_id, string_split(list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1), '.') AS p FROM pages) SELECT page_id, CASE WHEN len(p) >= 3 THEN p[-2] || '.' || p[-1] WHEN len(p) = 2 THEN p[-1] ELSE '' END AS suffix, p[1] AS stem FROM b"),
+                    r"WITH b AS (SELECT page_id, string_split(list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1), '.') AS p FROM pages) SELECT page_id, CASE WHEN len(p) >= 3 THEN lower(p[-2] || '.' || p[-1]) WHEN len(p) = 2 THEN lower(p[-1]) ELSE '' END AS suffix, p[1] AS stem FROM b"),
     "fnv1a": (lambda s, d: S.table(s, d, "nation").select("n_name", T.fnv1a(F.col("n_name")).alias("hash")),
               "WITH RECURSIVE r(n_name, i, h) AS (SELECT n_name, 0, 2166136261::HUGEINT FROM nation UNION ALL SELECT n_name, i + 1, (xor(h::BIGINT, ascii(n_name[i + 1])::BIGINT)::HUGEINT * 16777619) % 4294967296 FROM r WHERE i < length(n_name)) SELECT n_name, h::BIGINT AS hash FROM r WHERE i = length(n_name)"),
     "path_prefixes": (lambda s, d: S.table(s, d, "pages").select(F.explode(T.prefixes(F.regexp_replace("url", "^[a-z]+://", ""))).alias("dir")).groupBy("dir").agg(F.count(F.lit(1)).alias("n")),

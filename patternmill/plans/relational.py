@@ -38,14 +38,15 @@ _NORMS = f"""WITH {_MEM}, sup AS (SELECT s_suppkey AS unit, module FROM supplier
 reach AS (SELECT DISTINCT l_suppkey AS src, p_brand AS target FROM lineitem JOIN part ON l_partkey = p_partkey),
 cap AS (SELECT DISTINCT unit, module FROM reach JOIN sup ON src = unit), tgt AS (SELECT target, count(*) AS all_k FROM reach GROUP BY 1 HAVING count(*) >= 5),
 sz AS (SELECT module, count(*) AS na FROM cap GROUP BY 1), hits AS (SELECT module, target, count(*) AS ka FROM reach JOIN sup ON src = unit GROUP BY 1, 2),
-x AS (SELECT sz.module, tgt.target, coalesce(ka, 0) AS ka, na, all_k - coalesce(ka, 0) AS ko, (SELECT count(*) FROM cap) - na AS no, ceil(log2(greatest((SELECT count(*) FROM sz) * (SELECT count(*) FROM tgt), 2))) AS idx
-      FROM sz CROSS JOIN tgt LEFT JOIN hits ON hits.module = sz.module AND hits.target = tgt.target)
-SELECT module, target, ka, na, ko, no, round(ka * log2(((ka + 0.5) / (na + 1.0)) / ((ko + 0.5) / (no + 1.0))) + (na - ka) * log2((1 - (ka + 0.5) / (na + 1.0)) / (1 - (ko + 0.5) / (no + 1.0))) - 0.5 * log2(greatest(na, 2)) - idx, 6) AS bits,
-       ka * no > ko * na AS above FROM x WHERE no >= 5"""
+x AS (SELECT sz.module, tgt.target, coalesce(ka, 0) AS ka, na, all_k - coalesce(ka, 0) AS ko, (SELECT count(*) FROM cap) - na AS no
+      FROM sz CROSS JOIN tgt LEFT JOIN hits ON hits.module = sz.module AND hits.target = tgt.target),
+w AS (SELECT *, ceil(log2(greatest(count(*) OVER (), 2))) AS idx FROM x WHERE no >= 5), v AS (SELECT *, CASE WHEN ka > na - ka THEN 'true' ELSE 'false' END AS expected, greatest(ka, na - ka) AS ne FROM w WHERE na >= 5),
+z AS (SELECT *, ka * log2(((ka + 0.5) / (na + 1.0)) / ((ko + 0.5) / (no + 1.0))) + (na - ka) * log2((1 - (ka + 0.5) / (na + 1.0)) / (1 - (ko + 0.5) / (no + 1.0))) - 0.5 * log2(greatest(na, 2)) - idx AS bits FROM v)
+SELECT module, target, ka, na, ko, no, round(bits, 6) AS bits, expected, bits > 0 AND (ne + 0.5) / (na + 1.0) >= 0.875 AND CASE WHEN expected = 'true' THEN ka * no > ko * na ELSE ka * no < ko * na END AS certified FROM z"""
 _MARKS = "m AS (SELECT labels.doc_id, quality, toxic, n_chars, lang, source FROM labels JOIN documents USING (doc_id))"
 _RANK = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
 
-_QUERIES = {
+QUERIES = {
     "edge_dedupe": (lambda s, d: S.edges(s, d), f"WITH {_EDGES} SELECT * FROM edges"),
     "module_graph": (lambda s, d: M.module_graph(S.edges(s, d), _nations(s, d)), _GRAPH + " SELECT * FROM graph"),
     "partition_score": (lambda s, d: M.partition_score(S.edges(s, d), _nations(s, d)), _GRAPH + ", t AS (SELECT sum(CASE WHEN a = b THEN n ELSE 0 END)::BIGINT AS inside, sum(n)::BIGINT AS total FROM graph) SELECT inside, total, round(inside / total, 6) AS share FROM t"),
@@ -77,11 +78,3 @@ SELECT count(*) AS queries, round(avg(CASE WHEN nf > 0 THEN hit / nf ELSE 0 END)
 def _brand(s, d, condition):
     l, p = S.table(s, d, "lineitem").where(condition).select("l_partkey", F.col("l_suppkey").alias("q")), S.table(s, d, "part").select("p_partkey", F.col("p_brand").alias("item"))  # noqa: E741
     return l.join(p, l.l_partkey == p.p_partkey).select("q", "item").distinct()
-
-
-def queries():
-    return {name: f for name, (f, _) in _QUERIES.items()}
-
-
-def oracle_sql():
-    return {name: sql for name, (_, sql) in _QUERIES.items()}

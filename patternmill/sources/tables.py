@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only where everything is on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="patternmill-")
+    return f"{shared.rstrip('/')}/patternmill-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to a shared folder and read again: what several branches of a plan read is computed once."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def baskets(spark: SparkSession, sf_dir: str, unit: str = "p_brand") -> DataFrame:
     """(sha, unit): the distinct units of each order."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), "l_partkey", "l_suppkey")  # noqa: E741
