@@ -176,7 +176,7 @@ def worst_deviants(found: DataFrame, top: int = 5) -> DataFrame:
 
 
 def other_marker(found: DataFrame, ctx: DataFrame, facts: DataFrame, least: int = 3) -> DataFrame:
-    """Deviants of a fact that mostly share another boolean property which those who follow it hardly have."""
+    """Other boolean properties of a fact's deviants; a ``marker`` is one that most have and hardly any follower has."""
     key = ["cid", "kind", "pid"]
     have = ctx.where((F.col("v") == "true") & F.col("pid").rlike(BOOLEAN) & (F.col("level") == "all")).select("scope", "kind", F.col("pid").alias("other"))
     dev = found.select("scope", *key)
@@ -185,4 +185,4 @@ def other_marker(found: DataFrame, ctx: DataFrame, facts: DataFrame, least: int
     carry = dev.join(have, ["scope", "kind"]).where("other <> pid").groupBy(*key, "other").agg(F.count(F.lit(1)).alias("carriers"))
     also = follow.join(have, ["scope", "kind"]).groupBy(*key, "other").agg(F.count(F.lit(1)).alias("also"))
     rows = carry.join(n_dev, key).join(n_follow, key).join(also, [*key, "other"], "left").withColumn("also", F.coalesce("also", F.lit(0)))
-    return rows.where((F.col("carriers") >= least) & (3 * F.col("carriers") >= 2 * F.col("deviants")) & (10 * F.col("also") < F.col("followers")))
+    return rows.withColumn("marker", (F.col("carriers") >= least) & (3 * F.col("carriers") >= 2 * F.col("deviants")) & (10 * F.col("also") < F.col("followers")))

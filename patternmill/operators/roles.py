@@ -111,7 +111,7 @@ def induce(items: DataFrame, most: int = 700, least_weight: float = 12, least_cl
                 rows.append((features[medoid], weight, "+".join(f.split(":", 1)[-1] for f in said) or "group"))
         rows.sort(key=lambda r: (-r[1], r[0]))
         part = pdf["part"].iloc[0]
-        return pd.DataFrame({"part": [part] * len(rows), "role": range(len(rows)), "feats": [r[0] for r in rows], "weight": [r[1] for r in rows], "label": [r[2] for r in rows]})
+        return pd.DataFrame({"part": [part] * len(rows), "role": range(len(rows)), "feats": pd.Series([r[0] for r in rows], dtype=object), "weight": pd.Series([r[1] for r in rows], dtype=float), "label": pd.Series([r[2] for r in rows], dtype=object)})
 
     return by.select("part", "r", "feats", "w").groupBy("part").applyInPandas(run, "part string, role int, feats array<string>, weight double, label string")
 
@@ -176,6 +176,7 @@ def directory_cuts(files: DataFrame, categories: list[str]) -> DataFrame:
             else:
                 cost[d], regions[d] = together + cut, [d]
         found = sorted(r for r in regions["."] if r != ".")
-        yield pd.DataFrame({"dir": found})
+        if found:
+            yield pd.DataFrame({"dir": found})
 
     return long.coalesce(1).mapInPandas(decide, "dir string")

@@ -115,7 +115,7 @@ def exemplar_rank(s, d):
 
 def alt_marker(s, d):
     dev, ctx, spoken = _deviations(s, d)
-    return facts.other_marker(dev, ctx, spoken).select("cid", "pid", "other", "carriers", "deviants", "also", "followers")
+    return facts.other_marker(dev, ctx, spoken).select("cid", "pid", "other", "carriers", "deviants", "also", "followers", "marker")
 
 
 def sibling_leads(s, d):
@@ -208,8 +208,13 @@ def _changes(s, d):
     return rows.join(o, "sha")
 
 
+def _named(s, d):
+    p = S.table(s, d, "part").where("p_partkey % 100 = 0")
+    return p.select(F.col("p_partkey").alias("q"), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
+
+
 def how_rank(s, d):
-    return retrieval.rank_changes(_changes(s, d), _asked(s, d).where("tok <> 'unheard'"))
+    return retrieval.rank_changes(_changes(s, d), _named(s, d))
 
 
 def how_places(s, d):
@@ -219,7 +224,7 @@ def how_places(s, d):
 
 
 _HOW = """changes AS (SELECT DISTINCT l_orderkey AS sha, o_orderdate AS ts, unnest(string_split(lower(p_name), ' ')) AS tok FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
-asked AS (SELECT DISTINCT p_partkey AS q, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS tok FROM part WHERE p_partkey % 100 = 0),
+asked AS (SELECT DISTINCT p_partkey AS q, unnest(string_split(lower(p_name), ' ')) AS tok FROM part WHERE p_partkey % 100 = 0),
 idf AS (SELECT q, tok, log2(1 + coalesce((SELECT count(DISTINCT sha) FROM changes) / df, (SELECT count(DISTINCT sha) FROM changes))) AS idf FROM asked LEFT JOIN (SELECT tok, count(DISTINCT sha) AS df FROM changes GROUP BY tok) USING (tok)),
 total AS (SELECT q, sum(idf) AS total FROM idf GROUP BY q),
 score AS (SELECT q, sha, ts, round(sum(idf) / any_value(total), 6) AS score FROM changes JOIN idf USING (tok) JOIN total USING (q) GROUP BY q, sha, ts),
@@ -284,9 +289,9 @@ _FILES = """f AS (SELECT p_partkey, CASE WHEN p_partkey % 97 = 0 THEN 'misc' ELS
 
 _OBLIGE = """t AS (SELECT DISTINCT l_orderkey AS sha, o_orderdate AS ts, p_brand || '/' || p_type AS unit, p_brand AS cls, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
 born AS (SELECT DISTINCT arg_min(sha, (ts, sha, unit, cls)) AS sha, arg_min(cls, (ts, sha, unit, cls)) AS cls FROM t GROUP BY l_partkey),
-n AS (SELECT cls, count(*) AS n FROM born GROUP BY cls), u AS (SELECT DISTINCT sha, unit, cls FROM t), rate AS (SELECT unit, count(DISTINCT sha) AS gp FROM u GROUP BY unit), N AS (SELECT count(DISTINCT sha) AS total FROM u),
+n AS (SELECT cls, count(*) AS n FROM born GROUP BY cls), u AS (SELECT DISTINCT sha, unit, cls FROM t), rate AS (SELECT unit, count(DISTINCT sha) AS gp FROM u GROUP BY unit), every AS (SELECT count(DISTINCT sha) AS total FROM u),
 co AS (SELECT born.cls, u.unit, count(*) AS k FROM born JOIN u ON born.sha = u.sha AND born.cls <> u.cls GROUP BY 1, 2), idx AS (SELECT ceil(log2(greatest(count(*), 2))) AS idx FROM co),
-x AS (SELECT co.cls, co.unit, k, n, gp, total, (gp + 0.5) / (total + 1.0) AS base, (k + 0.5) / (n + 1.0) AS own, idx FROM co JOIN n USING (cls) JOIN rate USING (unit), N, idx WHERE n >= 5),
+x AS (SELECT co.cls, co.unit, k, n, gp, total, (gp + 0.5) / (total + 1.0) AS base, (k + 0.5) / (n + 1.0) AS own, idx FROM co JOIN n USING (cls) JOIN rate USING (unit), every, idx WHERE n >= 5),
 y AS (SELECT *, k * log2(own / base) + (n - k) * log2((1 - own) / (1 - base)) - 0.5 * log2(greatest(n, 2)) - idx AS bits FROM x)
 SELECT cls, unit, k, n, gp, round(bits, 6) AS bits, bits > 0 AND own >= 0.875 AS rule, NOT (bits > 0 AND own >= 0.875) AND base >= 0.875 AS ambient FROM y"""
 
@@ -311,7 +316,7 @@ QUERIES = {
     "alt_marker": (alt_marker, f"""WITH {_DEVIATE}, d AS (SELECT scope, cid, pid FROM dev WHERE bits >= 3), have AS (SELECT scope, pid AS other FROM props WHERE v = 'true'), fol AS (SELECT c.scope, c.cid, c.pid FROM ctx c JOIN spoken s ON s.cid = c.cid AND s.pid = c.pid AND s.expected = c.v WHERE c.raw = 1),
 nd AS (SELECT cid, pid, count(*) AS deviants FROM d GROUP BY 1, 2), nf AS (SELECT cid, pid, count(*) AS followers FROM fol GROUP BY 1, 2), car AS (SELECT cid, pid, other, count(*) AS carriers FROM d JOIN have USING (scope) WHERE other <> pid GROUP BY 1, 2, 3),
 al AS (SELECT cid, pid, other, count(*) AS also FROM fol JOIN have USING (scope) GROUP BY 1, 2, 3)
-SELECT cid, pid, other, carriers, deviants, coalesce(also, 0) AS also, followers FROM car JOIN nd USING (cid, pid) JOIN nf USING (cid, pid) LEFT JOIN al USING (cid, pid, other) WHERE carriers >= 3 AND 3 * carriers >= 2 * deviants AND 10 * coalesce(also, 0) < followers"""),
+SELECT cid, pid, other, carriers, deviants, coalesce(also, 0) AS also, followers, carriers >= 3 AND 3 * carriers >= 2 * deviants AND 10 * coalesce(also, 0) < followers AS marker FROM car JOIN nd USING (cid, pid) JOIN nf USING (cid, pid) LEFT JOIN al USING (cid, pid, other)"""),
     "sibling_leads": (sibling_leads, None),
     "freshness_weight": (freshness_weight, """WITH l AS (SELECT user_id, min(ts) AS first, count(*) AS n FROM events GROUP BY 1), x AS (SELECT c_custkey AS user_id, epoch_us((SELECT max(ts) FROM events)) - epoch_us(first) AS us, n FROM customer LEFT JOIN l ON user_id = c_custkey WHERE c_custkey < 200)
 SELECT user_id, CASE WHEN us IS NULL THEN 0.3 ELSE greatest(0.05, CASE WHEN us / 86400000000 < 29.9 THEN 0.5 ELSE 1.0 END * CASE WHEN n % 5 = 0 THEN 0.25 ELSE 1.0 END) END::DOUBLE AS weight, coalesce(us / 86400000000 >= 29.9, false) AS survived FROM x"""),
