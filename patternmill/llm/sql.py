@@ -88,4 +88,36 @@ FROM d LEFT JOIN (
 ) k ON d.doc_id = k.doc_id
 """
 
-ORACLE = {"op7_substring_dedup": _REPEATS, "op5_url_filter": _URL, "op6_quality_rules": _QUALITY, "op8_line_dedup": _LINES}
+#: Benchmark items of which a document holds four fifths of the distinct shingles; short items are one shingle.
+_LEAKS = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark
+), items AS (
+  SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, i, i + k - 1), chr(32)) AS s
+  FROM (SELECT item_id, ws, least(5, len(ws)) AS k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), docs AS (
+  SELECT DISTINCT doc_id, k, array_to_string(list_slice(ws, i, i + k - 1), chr(32)) AS s
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM items) WHERE len(ws) >= k)
+), n AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+found AS (SELECT doc_id, item_id, count(*) AS f FROM docs JOIN items USING (k, s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_shingles, f AS n_found, f / n AS containment FROM found JOIN n USING (item_id) WHERE f / n >= 0.8
+"""
+
+#: Bytes of 50-byte strings that also start in a document with a smaller number; a hex digit pair is a byte.
+_BYTES = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM n WHERE n >= 50)),
+hit AS (SELECT doc_id, i FROM win JOIN (SELECT k, min(doc_id) AS m FROM win GROUP BY k) USING (k) WHERE m < doc_id),
+step AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hit),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM step),
+span AS (SELECT doc_id, r, min(i) AS lo, max(i) + 50 AS hi FROM run GROUP BY 1, 2),
+gap AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM span UNION ALL SELECT doc_id, max(hi), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS k FROM gap JOIN n USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM n LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE = {"op3_decontaminate": _LEAKS, "op5_url_filter": _URL, "op6_quality_rules": _QUALITY, "op7_substring_dedup": _REPEATS, "op8_line_dedup": _LINES, "op10_suffix_dedup": _BYTES}
