@@ -1,8 +1,8 @@
 """Packing token pieces into fixed-length sequences.
 
 Documents are tokenised where they lie; only (doc_id, start, length, checksum, total) of each piece is shuffled. A
-document is cut into full pieces of ``capacity`` ids and one tail. Pieces are dealt by hash into randomised groups of
-about ``group_docs`` documents and each group is packed on its own by first-fit decreasing; a tournament tree over the
+document is cut into full pieces of ``capacity`` ids and one tail. Pieces are dealt by a hash of number, place and
+content (so rows without a number spread too) into randomised groups of about ``group_docs`` documents and each group is packed on its own by first-fit decreasing; a tournament tree over the
 bins' free capacities finds the first bin that fits in logarithmic time. Groups are independent, so a lost executor
 costs only its groups, and the work of a task doesn't grow with the input.
 
@@ -210,5 +210,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str] | str, cap
 
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(docs[id_col], docs[text_col]).mapInArrow(cut, PIECES)
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     return grouped.groupBy("grp").applyInArrow(pack, PACKED)

@@ -1,8 +1,8 @@
 """Toxicity scored by a weighted finite-state grammar over clauses.
 
-Five small transducers are composed into one deterministic machine that reads the classes of a clause's words:
+A lexicon gives each word its class (insult, threat, or one that steers) and a weight. Four small transducers are
+composed into one deterministic machine that reads the classes of a clause's words:
 
-* insult / threat: the lexicon gives a word its class and weight;
 * target: after a word for the addressee, insults are *aimed*;
 * negation: the next few words after "not", "never", "no" are *denied*;
 * reported speech: after "said", "called", "quoted", up to the clause's end, words are *reported*;
