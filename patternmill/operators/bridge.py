@@ -11,13 +11,13 @@ from patternmill.functions import cells
 def scored_pairs(tokens: DataFrame) -> DataFrame:
     """tokens (doc_id, grp, tok) -> every (tok, grp) with k documents of df, the bits it saves, and both tests.
 
-    A document with a word is a trial, its group the outcome; the group's share of all documents is the base. The
-    index cost is that of every observed pair. A bridge is an excess: the word's rate must exceed the base.
+    A document with a word is a trial, that it has the group the outcome; a document may have several groups. The
+    group's share of all documents is the base. The index cost is that of every observed pair. A bridge is an excess: the word's rate must exceed the base.
     """
     docs = tokens.select("doc_id", "grp").distinct()
-    base = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).crossJoin(docs.agg(F.count(F.lit(1)).alias("N")))
+    base = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).crossJoin(docs.agg(F.countDistinct("doc_id").alias("N")))
     pair = tokens.groupBy("tok", "grp").agg(F.count(F.lit(1)).alias("k"))
-    df = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    df = tokens.select("tok", "doc_id").distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     size = pair.agg(F.count(F.lit(1)).alias("pairs"))
     rows = pair.join(df, "tok").join(base, "grp").crossJoin(F.broadcast(size))  # one number
     p = F.col("g") / F.col("N")

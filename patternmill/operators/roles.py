@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +92,11 @@ def induce(items: DataFrame, most: int = 700, least_weight: float = 12, least_cl
     # every step-th bag in order: the r for which floor(k * step) = r has a solution
     by = by.where(F.floor(F.ceil(F.col("r") / step) * step) == F.col("r"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        features, w = [list(f) for f in pdf["feats"]], pdf["w"].to_numpy(float)
+    shape = pa.schema([("part", pa.string()), ("role", pa.int32()), ("feats", pa.list_(pa.string())), ("weight", pa.float64()), ("label", pa.string())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        features, w, part = table.column("feats").to_pylist(), table.column("w").to_numpy().astype(float), table.column("part")[0].as_py()
         rows = []
         if w.sum() >= least_weight:
             d = distances(features)
@@ -110,10 +113,10 @@ def induce(items: DataFrame, most: int = 700, least_weight: float = 12, least_cl
                 said = sorted((f for f, c in count.items() if 2 * c >= weight), key=lambda f: (-count[f], f))[:3]  # noqa: B023
                 rows.append((features[medoid], weight, "+".join(f.split(":", 1)[-1] for f in said) or "group"))
         rows.sort(key=lambda r: (-r[1], r[0]))
-        part = pdf["part"].iloc[0]
-        return pd.DataFrame({"part": [part] * len(rows), "role": range(len(rows)), "feats": pd.Series([r[0] for r in rows], dtype=object), "weight": pd.Series([r[1] for r in rows], dtype=float), "label": pd.Series([r[2] for r in rows], dtype=object)})
+        found = [{"part": part, "role": i, "feats": f, "weight": x, "label": y} for i, (f, x, y) in enumerate(rows)]
+        return pa.Table.from_pylist(found, shape)
 
-    return by.select("part", "r", "feats", "w").groupBy("part").applyInPandas(run, "part string, role int, feats array<string>, weight double, label string")
+    return by.select("part", "r", "feats", "w").groupBy("part").applyInArrow(run, "part string, role int, feats array<string>, weight double, label string")
 
 
 def assign(items: DataFrame, medoids: DataFrame, least: float = 0.35, gap: float = 0.15, same: float = 0.6) -> DataFrame:

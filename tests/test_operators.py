@@ -133,13 +133,20 @@ def test_curveball_keeps_both_margins(spark):
 
 
 def test_roles(spark):
-    rows = [("p", i, ["tok:order", "sup:handler", f"tok:x{i % 5}"]) for i in range(30)] + [("p", 100 + i, ["tok:view", "sup:page", f"tok:y{i % 4}"]) for i in range(30)] + [("q", 1, ["tok:alone"])]
-    items = spark.createDataFrame(rows, "part string, item long, feats array<string>")
-    medoids = roles.induce(items)
+    kind = "part string, item long, feats array<string>"
+    rows = [("p", i, ["tok:order", "sup:handler"]) for i in range(30)] + [("p", 100 + i, ["tok:view", "sup:page"]) for i in range(30)] + [("q", 1, ["tok:alone"])]
+    medoids = roles.induce(spark.createDataFrame(rows, kind))
     got = {r.role: (set(r.feats), r.label) for r in medoids.collect()}
-    assert len(got) == 2 and {label.split("+")[0] for _, label in got.values()} == {"handler", "page"}
-    where = {r.item: (r.role, r.ambiguous) for r in roles.assign(items, medoids).collect()}
-    assert len({where[i] for i in range(30)}) == 1 and len({where[100 + i] for i in range(30)}) == 1 and where[0][0] != where[100][0]
+    assert sorted(label for _, label in got.values()) == ["handler+order", "page+view"]
+    more = [("p", 1, ["tok:order", "sup:handler", "tok:new"]), ("p", 2, ["tok:view", "sup:page"]), ("p", 3, ["tok:order", "tok:view"]), ("p", 4, ["tok:else"])]
+    where = {r.item: (got[r.role][1], r.ambiguous) for r in roles.assign(spark.createDataFrame(more, kind), medoids).collect()}
+    assert where[1] == ("handler+order", False) and where[2] == ("page+view", False) and where[3][1] and 4 not in where
+
+
+def test_agglomeration_takes_the_shortest_description():
+    bags = [[f"f{k}" for k in range(12)]] * 2 + [[f"f{k}" for k in range(11)] + ["g"]] + [[f"h{k}" for k in range(12)]]
+    parts = roles.agglomerate(bags, np.array([8.0, 8.0, 1.0, 9.0]))
+    assert sorted(map(sorted, parts))[-1] == [3] and [0, 1] in [sorted(p)[:2] for p in parts]
 
 
 def test_directory_cuts(spark):
