@@ -241,8 +241,8 @@ def residualize(s, d):
 
 
 def partial_correlation(s, d):
-    p = S.table(s, d, "part")
-    return E.partial_correlation(p.select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"), F.col("p_partkey").alias("z")))
+    l = S.table(s, d, "lineitem")  # noqa: E741
+    return E.partial_correlation(l.select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("z")))
 
 
 def partition_agreement(s, d):
@@ -320,7 +320,7 @@ c AS (SELECT count(*) AS n, count(*) FILTER (back) AS k FROM x), w AS (SELECT *,
     "ordinals": (ordinals, f"WITH {_EVENTS} SELECT key, ord, (row_number() OVER (PARTITION BY key, v ORDER BY ts, ord) - 1)::INT AS ordinal FROM e"),
     "precision_at_frac": (precision_at_frac, f"WITH {_MARKS}, r AS (SELECT quality, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER () AS n FROM m) SELECT count(*) AS taken, sum(quality)::BIGINT AS hits, round(avg(quality), 6) AS precision FROM r WHERE r <= greatest(floor(n * 0.1), 1)"),
     "residualize": (residualize, f"WITH {_MARKS}, x AS (SELECT doc_id AS id, ln(1 + n_chars) AS lx, quality::DOUBLE AS y FROM m), l AS (SELECT regr_slope(y, lx) AS s, regr_intercept(y, lx) AS b FROM x) SELECT id, round(y - b - s * lx, 6) AS residual FROM x, l"),
-    "partial_correlation": (partial_correlation, "WITH c AS (SELECT count(*) AS n, corr(p_size, p_retailprice) AS xy, corr(p_size, p_partkey) AS xz, corr(p_retailprice, p_partkey) AS yz FROM part) SELECT n, round(xy, 6) AS plain, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM c"),
+    "partial_correlation": (partial_correlation, "WITH c AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem) SELECT n, round(xy, 6) AS plain, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM c"),
     "partition_agreement": (partition_agreement, """WITH n AS (SELECT lang AS a, source AS b, count(*) AS n FROM documents GROUP BY 1, 2), a AS (SELECT a, sum(n) AS n FROM n GROUP BY 1), b AS (SELECT b, sum(n) AS n FROM n GROUP BY 1), t AS (SELECT sum(n) AS t FROM n),
 m AS (SELECT sum(n.n / t * log2(n.n * t / (a.n * b.n))) AS mi, sum(n.n * (n.n - 1) / 2) AS ij FROM n JOIN a USING (a) JOIN b USING (b), t), ha AS (SELECT -sum(n / t * log2(n / t)) AS h, sum(n * (n - 1) / 2) AS s FROM a, t), hb AS (SELECT -sum(n / t * log2(n / t)) AS h, sum(n * (n - 1) / 2) AS s FROM b, t)
 SELECT round(mi / sqrt(ha.h * hb.h), 6) AS nmi, round((ij - ha.s * hb.s / (t * (t - 1) / 2)) / ((ha.s + hb.s) / 2 - ha.s * hb.s / (t * (t - 1) / 2)), 6) AS ari FROM m, ha, hb, t"""),
