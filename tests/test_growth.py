@@ -2,8 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
-
 from patternmill.operators import retrieval
 
 
@@ -57,3 +55,18 @@ def test_cards_and_questions_that_are_alike_meet_once(spark):
         out = retrieval.rank_cards(c, w, given)
         assert most_rows(out) < 5000, "600 cards times 200 questions would be 120,000 rows"
         assert sorted(map(tuple, out.collect())) == plain_cards(cards, words, names_of)
+
+
+def test_changes_that_say_the_same_meet_a_question_once(spark):
+    rows = [(s, s // 3, t) for s in range(600) for t in ("all", "abc"[s % 3])] + [(7, 2, "c"), (7, 900, "all")]
+    words = [(q, t) for q in range(200) for t in ("all", "abc"[q % 2], "unheard")[: 1 + q % 3]] + [(999, "unheard")]
+    out = retrieval.rank_changes(spark.createDataFrame(rows, "sha long, ts long, tok string"), spark.createDataFrame(words, "q long, tok string"))
+    assert most_rows(out) < 5000, "600 changes times 200 questions would be 120,000 rows"
+    held, want, size = {}, [], len({s for s, _, _ in rows})
+    for s, ts, t in rows:
+        held.setdefault((s, ts), set()).add(t)
+    for q in {q for q, _ in words}:
+        idf = {t: math.log2(1 + size / (len({s for s, _, x in rows if x == t}) or 1)) for t in {t for x, t in words if x == q}}
+        found = [(-round(sum(idf.get(t, 0) for t in h) / sum(idf.values()), 6), -ts, s) for (s, ts), h in held.items()]
+        want += [(q, s, -score, k + 1) for k, (score, _, s) in enumerate(sorted(x for x in found if x[0] <= -0.34)[:5])]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
