@@ -1,8 +1,11 @@
 """What grows with the data grows no faster than it: rows that a plan makes, on frames where many rows are alike."""
 
 import math
+import time
 
-from patternmill.operators import retrieval
+import numpy as np
+
+from patternmill.operators import nulls, retrieval
 
 
 def most_rows(df):
@@ -70,3 +73,16 @@ def test_changes_that_say_the_same_meet_a_question_once(spark):
         found = [(-round(sum(idf.get(t, 0) for t in h) / sum(idf.values()), 6), -ts, s) for (s, ts), h in held.items()]
         want += [(q, s, -score, k + 1) for k, (score, _, s) in enumerate(sorted(x for x in found if x[0] <= -0.34)[:5])]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_a_large_block_trades_in_passes_over_its_items(spark):
+    rng = np.random.default_rng(1)
+    held = np.unique(np.stack([rng.integers(0, 200_000, 600_000), rng.integers(0, 6, 600_000)]), axis=1)
+    began = time.process_time()
+    row = nulls.trade(held[0], held[1], 200_001, np.random.default_rng(2), 10)
+    assert time.process_time() - began < 20, "a million trades one by one take longer"
+    assert (np.bincount(row) == np.bincount(held[0])).all() and len(np.unique(row * 6 + held[1])) == len(row)
+    small = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 3)]
+    mixed = {tuple(sorted(zip(nulls.trade(np.array([r for r, _ in small]), np.array([u for _, u in small]), 3, np.random.default_rng(k), 30), [u for _, u in small]))) for k in range(200)}
+    # all tables of sizes 2, 2, 1 in which unit 1 is held twice and units 0, 2 and 3 once
+    assert len(mixed) == 12
