@@ -16,7 +16,7 @@ def birth_obligations(touches: DataFrame, births: DataFrame, live: DataFrame | N
     clear the loss bound; what fails but is in nearly every change anyway is ambient.
     """
     touches = touches.select("sha", "unit", "cls").distinct()
-    events = births.groupBy("sha", "cls").agg(F.min("unit").alias("born"))
+    events = births.select("sha", "cls").distinct()
     n = events.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     every = touches.agg(F.countDistinct("sha").alias("changes"))
     rate = touches.select("sha", "unit").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("gp"))

@@ -86,3 +86,12 @@ def test_a_large_block_trades_in_passes_over_its_items(spark):
     mixed = {tuple(sorted(zip(nulls.trade(np.array([r for r, _ in small]), np.array([u for _, u in small]), 3, np.random.default_rng(k), 30), [u for _, u in small]))) for k in range(200)}
     # all tables of sizes 2, 2, 1 in which unit 1 is held twice and units 0, 2 and 3 once
     assert len(mixed) == 12
+
+
+def test_first_touches_are_not_sorted_and_tasks_get_so_many_rows(spark, sf_dir):
+    from patternmill import catalog
+    from patternmill.sources import tables
+
+    plan = catalog.queries()["birth_obligations"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
+    assert [tables.pieces(spark.range(n), 10) for n in (0, 10, 11, 95)] == [1, 1, 2, 10]
