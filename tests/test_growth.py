@@ -3,10 +3,13 @@
 import math
 import re
 import time
+from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 
 from patternmill.operators import facts, nulls, retrieval
+from patternmill.streaming import history
 
 
 def most_rows(df):
@@ -117,3 +120,46 @@ def test_words_of_documents_with_one_group_are_not_shuffled(spark, sf_dir):
 
     plan = catalog.queries()["source_bridge"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(tok#\d+, doc_id", plan)
+
+
+def plain_lives(batches):
+    """Event by event; those without a time first in their batch."""
+    lives = {}
+    for batch in batches:
+        for key, ts, _, v in sorted(batch, key=lambda e: (e[1] is not None, e[1] or datetime(1, 1, 1), e[2])):
+            first, last, mods, fixes, churn, old = lives.get(key, (None, None, 0, 0, False, v))
+            first, last = first or ts, ts or last
+            early = ts is not None and ts - first <= timedelta(days=14)
+            lives[key] = (first, last, mods + (v != old), fixes + (v == "error"), churn or (v != old and early), v)
+    return lives
+
+
+def test_a_stream_brings_each_key_to_its_state_once_a_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, kind, batches = np.random.default_rng(7), "key string, ts timestamp, ord long, v string", []
+    for part in range(3):
+        pick = lambda i: (f"k{k}" if (k := rng.integers(0, 40)) else None, datetime(2024, 1, 1 + 10 * part) + timedelta(hours=int(rng.integers(0, 240))) if i % 17 else None, i, [None, "a", "b", "error"][rng.choice(4, p=[0.1, 0.6, 0.2, 0.1])])  # noqa: E731, B023
+        batches.append([pick(i) for i in range(400)] + [(f"n{part}", None, 1, "a"), ("edge", datetime(2024, 1, 1) + timedelta(days=[0, 14, 15][part]), 1, ["a", "b", "a"][part]),
+                        ("late", datetime(2024, 1, 1) + timedelta(days=[0, 14, 15][part], seconds=part), 1, ["a", "b", "a"][part])])
+        spark.createDataFrame(batches[-1], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = {}
+    stream = history.lifecycles(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), buckets=8)
+    keep = lambda df, n: seen.update({r.key: tuple(r)[1:] for r in df.collect()})
+    q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == plain_lives(batches) and not seen["late"][4] and seen["edge"][4] and None in seen
+    plan = q._jsq.explainInternal(False)
+    assert -1 < plan.index("TransformWithState") < plan.find("FlatMapGroupsInArrow"), "events of a key are joined before its state is read"
+
+
+def test_stretches_take_all_keys_of_a_bucket_in_passes():
+    rng = np.random.default_rng(8)
+    n = 400_000
+    key, at, v = rng.integers(0, 60_000, n), rng.integers(0, 10**9, n), rng.integers(0, 3, n)
+    events = pa.table({"bucket": pa.array(np.zeros(n, "int32")), "key": key.astype(str), "at": at, "until": at + 9, "ord": np.arange(n), "v": np.array(["a", "b", "error"])[v]})
+    began = time.process_time()
+    out = history.stretches(events, "error")
+    assert time.process_time() - began < 10, "a data frame for each of 60,000 keys takes longer"
+    order = np.lexsort((np.arange(n), at, key))
+    changed = (key[order][1:] == key[order][:-1]) & (v[order][1:] != v[order][:-1])
+    assert len(out) == len(np.unique(key)) and sum(out["mods"].to_pylist()) == changed.sum() and sum(out["fixes"].to_pylist()) == (v == 2).sum()
